@@ -3,6 +3,7 @@
 from tessel.llm.bpe import op7_bpe_encoding
 from tessel.llm.neardup import op4_near_duplicates
 from tessel.llm.packing import op6_best_fit_packing
+from tessel.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_near_duplicates, op6_best_fit_packing, op7_bpe_encoding)}
+QUERIES = {f.__name__: f for f in (op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_bpe_encoding)}
 ORACLE_SQL: dict[str, str] = {}
