@@ -2,10 +2,11 @@
 
 from tessel.llm.bpe import op7_bpe_encoding
 from tessel.llm.neardup import op4_near_duplicates
+from tessel.llm.neighbours import op9_nearest_neighbours
 from tessel.llm.packing import op6_best_fit_packing
 from tessel.llm.perplexity import op3_quality_rules
 from tessel.llm.quality import op10_quality
 from tessel.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_bpe_encoding, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_bpe_encoding, op9_nearest_neighbours, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
