@@ -1,6 +1,7 @@
 """The queries of this subpackage, and SQL for those that DuckDB can express."""
 
 from tessel.llm.bpe import op7_bpe_encoding
+from tessel.llm.chat import OP1_SQL, op1_chat_formatting
 from tessel.llm.neardup import op4_near_duplicates
 from tessel.llm.neighbours import op9_nearest_neighbours
 from tessel.llm.packing import op6_best_fit_packing
@@ -8,5 +9,5 @@ from tessel.llm.perplexity import op3_quality_rules
 from tessel.llm.quality import op10_quality
 from tessel.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_bpe_encoding, op9_nearest_neighbours, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_quality_rules, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_bpe_encoding, op9_nearest_neighbours, op10_quality)}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
