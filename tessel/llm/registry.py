@@ -2,6 +2,7 @@
 
 from tessel.llm.bpe import op7_bpe_encoding
 from tessel.llm.chat import OP1_SQL, op1_chat_formatting
+from tessel.llm.maxent import op8_lm_scoring
 from tessel.llm.neardup import op4_near_duplicates
 from tessel.llm.neighbours import op9_nearest_neighbours
 from tessel.llm.packing import op6_best_fit_packing
@@ -9,5 +10,5 @@ from tessel.llm.perplexity import op3_quality_rules
 from tessel.llm.quality import op10_quality
 from tessel.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_quality_rules, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_bpe_encoding, op9_nearest_neighbours, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_quality_rules, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_bpe_encoding, op8_lm_scoring, op9_nearest_neighbours, op10_quality)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
