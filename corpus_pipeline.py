@@ -1,3 +1,54 @@
-def run(spark, sf_dir):
-    raise NotImplementedError
-STAGES = []
+"""From raw documents to packed training sequences: toxicity, quality, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+Null and empty texts are scored as texts without words and, where kept, pack to their end
+id alone; rows without id are documents of their own; repeated rows leave one.  Other
+columns pass the first three stages unchanged.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessel.llm import neardup, packing, quality, toxicity
+from tessel.llm.shared import remainder, table, written
+from tessel.session import ship
+
+#: The near-duplicate and packing stages are no SQL: the pipeline is tested against a brute-force version.
+ORACLE_SQL = None
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that op5's classifier doesn't call toxic."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 3) != 1)
+    return toxicity.kept(docs, model)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that op10's classifier doesn't call bad."""
+    field = quality.train(docs, table(spark, sf_dir, "labels"), "quality", remainder("doc_id", 5) != 0)
+    return quality.kept(docs, field)
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest id; of equal rows, one."""
+    found = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+STAGES = [("toxicity", clean), ("quality", good), ("near_duplicates", unique), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents; what a stage returns is written, and read again by the next."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

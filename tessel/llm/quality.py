@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.samples import labelled
 from tessel.llm.shared import remainder, table
-from tessel.llm.text import Chunk, chunks, windows
+from tessel.llm.text import Chunk, chunks, filtered, windows
 
 THRESHOLD = 0.3
 #: Most labelled documents of each class that the field is fitted on.
@@ -179,6 +179,11 @@ def score(docs: DataFrame, field: Field, id_column: str = "doc_id", text_column:
     return out.withColumnRenamed("id", id_column)
 
 
+def kept(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least the threshold."""
+    return docs.mapInArrow(filtered(docs.columns.index("text"), lambda chunk: field.scores(chunk) >= threshold), docs.schema)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality; learned only from ids whose crc32 mod 5 isn't 0."""
     docs = table(spark, sf_dir, "documents")

@@ -9,7 +9,7 @@ a 64-bit hash: a polynomial over a fixed table of random numbers, mixed at the e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +123,17 @@ def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Itera
             at = to
 
 
+def filtered(text_at: int, keep: Callable[[Chunk], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that keeps whole rows by a mask made from their texts (column number ``text_at``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(text_at), 1 << 20):
+                yield batch.slice(chunk.first, chunk.n).filter(pa.array(keep(chunk)))
+
+    return run
+
+
 def windows(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``size`` neighbouring words of one text, and the number of its first word."""
     if len(hashes) < size:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.samples import labelled
 from tessel.llm.shared import remainder, table
-from tessel.llm.text import _LOWER, Chunk, chunks
+from tessel.llm.text import _LOWER, Chunk, chunks, filtered
 
 WINDOW = 4
 SIZES = (3, 4, 5)
@@ -251,6 +251,12 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return out.withColumnRenamed("id", id_column)
 
 
+def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias, model.scale, model.shift))
+    return docs.mapInArrow(filtered(docs.columns.index("text"), lambda chunk: sent.value.scores(chunk) < threshold), docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; learned only from ids whose crc32 mod 3 isn't 1."""
     docs = table(spark, sf_dir, "documents")
