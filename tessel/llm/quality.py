@@ -161,7 +161,7 @@ def fit(texts: pa.Array, target: np.ndarray, steps: int = STEPS, ridge: float =
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", allowed: F.Column | None = None, most_chars: int = 20_000) -> Field:
     """A field from at most PER_CLASS labelled documents of each class (longer ones than ``most_chars`` aren't sampled), fitted on the driver."""
-    sample = labelled(docs, labels, target, F.lit(True) if allowed is None else allowed, PER_CLASS).where(F.length("text") <= most_chars)
+    sample = labelled(docs, labels, target, F.lit(True) if allowed is None else allowed, (PER_CLASS, PER_CLASS)).where(F.length("text") <= most_chars)
     rows = sample.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(rows.column("text").combine_chunks(), rows.column("target").to_numpy())
 

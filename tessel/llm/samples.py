@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, per_class: int) -> DataFrame:
-    """(doc_id, text, target int) of at most ``per_class`` rows of each label, in the order of a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, most: tuple[int, int]) -> DataFrame:
+    """(doc_id, text, target int) of at most ``most`` rows of labels 0 and 1, in the order of a hash of the id.
 
     ``allowed`` says which rows may be learned from.  An id with several labels counts once, with the
-    largest; ids or labels that are null don't count.  Only the chosen ids, at most 2 * per_class, are broadcast.
+    largest; ids or labels that are null don't count.  Only the chosen ids, at most sum(most), are broadcast.
     """
     known = labels.select("doc_id", F.col(target).cast("int").alias("target")).where(F.col("target").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(allowed).groupBy("doc_id").agg(F.max("target").alias("target"))
     order = [F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id"]
-    chosen = known.where("target = 0").orderBy(*order).limit(per_class).union(known.where("target = 1").orderBy(*order).limit(per_class))
+    chosen = known.where("target = 0").orderBy(*order).limit(most[0]).union(known.where("target = 1").orderBy(*order).limit(most[1]))
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")

@@ -37,8 +37,8 @@ SIZES = (3, 4, 5)
 BITS = 19
 BUCKETS = 1 << BITS
 DIMENSIONS = 2
-#: Most labelled documents of each class that the model is fitted on, and most windows of each of them.
-PER_CLASS, WINDOWS_PER_DOCUMENT = 1000, 400
+#: Most labelled documents, clean and toxic, that the model is fitted on, and most windows of each of them.
+SAMPLED, WINDOWS_PER_DOCUMENT = (1000, 1500), (200, 400)
 #: An n-gram seen in fewer words of documents of the sample has no vector: it could only be learned by heart.
 LEAST_DOCUMENTS = 10
 THRESHOLD = 0.7
@@ -110,7 +110,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(batch.num_rows):
             words = (batch.column(1)[at].as_py() or "").encode("utf-8").split()
             starts = list(range(0, max(1, len(words)), WINDOW))
-            picked = [starts[i] for i in np.unique(np.linspace(0, len(starts) - 1, min(len(starts), WINDOWS_PER_DOCUMENT)).astype(int))]
+            picked = [starts[i] for i in np.unique(np.linspace(0, len(starts) - 1, min(len(starts), WINDOWS_PER_DOCUMENT[batch.column(2)[at].as_py()])).astype(int))]
             texts = [b" ".join(words[i : i + WINDOW]).decode("utf-8") for i in picked]
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at].as_py()] * len(texts), pa.int64()), pa.array([batch.column(2)[at].as_py()] * len(texts), pa.int32()), pa.array(texts)], names=["doc_id", "target", "text"])
 
@@ -126,18 +126,19 @@ class _Bags:
             for word in text.encode("utf-8").lower().split():
                 words.append(known.setdefault(word, len(known)))
                 window.append(i)
-        self.words, self.window = np.array(words, np.int64), np.array(window, np.int64)
+        self.words, self.window = np.array(words, np.int32), np.array(window, np.int32)
+        del words, window
         self.share = 1 / np.maximum(1, np.bincount(self.window, minlength=self.n))[self.window]
         of, bucket = [], []
         for part in chunks(pa.array([w.decode("utf-8") for w in known], pa.string())):
             w, b, owner = ngrams(part)
             of.append(owner[w] + part.first)
             bucket.append(b)
-        self.of, self.bucket = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (of, bucket))
+        self.of, self.bucket = (np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (of, bucket))
         self.n_words = len(known)
         self.word_share = 1 / np.maximum(1, np.bincount(self.of, minlength=self.n_words))[self.of]
         # Distinct (document, word) pairs with each n-gram.
-        pairs = np.unique(doc[self.window] * max(1, self.n_words) + self.words) if len(self.words) else self.words
+        pairs = np.unique(doc[self.window].astype(np.int64) * max(1, self.n_words) + self.words) if len(self.words) else self.words
         order = np.argsort(self.of, kind="stable")
         self.of, self.bucket, self.word_share = self.of[order], self.bucket[order], self.word_share[order]
         seen = np.zeros(BUCKETS, np.int64)
@@ -146,6 +147,7 @@ class _Bags:
         kept = seen[self.bucket] >= LEAST_DOCUMENTS
         self.of, self.bucket, self.word_share = self.of[kept], self.bucket[kept], self.word_share[kept]
         self.used, self.bucket = np.unique(self.bucket, return_inverse=True)
+        self.bucket, self.word_share, self.share = self.bucket.astype(np.int32), self.word_share.astype(np.float32), self.share.astype(np.float32)
 
 
 def _summed(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -168,7 +170,7 @@ def fit(doc: np.ndarray, target: np.ndarray, texts: pa.Array, seed: int = 0, rou
         learning = tuning
     else:
         learning = ~tuning
-    vectors = rng.normal(0, 0.1, (len(bags.used), DIMENSIONS))
+    vectors = rng.normal(0, 0.1, (len(bags.used), DIMENSIONS)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (DIMENSIONS, 2))
     bias = np.zeros(2)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, softmax, bias)]
@@ -217,10 +219,10 @@ def fit(doc: np.ndarray, target: np.ndarray, texts: pa.Array, seed: int = 0, rou
 
 
 def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic fit of labels on scores, both classes weighing the same (ridge, Newton steps)."""
+    """Scale and shift of a logistic fit of labels on scores (ridge, Newton steps); the clean documents weigh three times the toxic ones."""
     centre, spread = float(x.mean()), float(x.std()) or 1.0
     features = np.stack([(x - centre) / spread, np.ones_like(x)], 1)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, 0.25 / max(1, (y == 1).sum()), 0.75 / max(1, (y == 0).sum()))
     found = np.zeros(2)
     for _ in range(30):
         p = 1 / (1 + np.exp(-features @ found))
@@ -231,8 +233,8 @@ def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", allowed: F.Column | None = None) -> Model:
-    """A model from at most PER_CLASS labelled documents of each class, fitted on the driver."""
-    sample = labelled(docs, labels, target, F.lit(True) if allowed is None else allowed, PER_CLASS)
+    """A model from at most SAMPLED labelled documents, fitted on the driver."""
+    sample = labelled(docs, labels, target, F.lit(True) if allowed is None else allowed, SAMPLED)
     rows = sample.select(F.col("doc_id").cast("long"), "text", "target").mapInArrow(_windows, "doc_id long, target int, text string").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(rows.column("doc_id").to_numpy(), rows.column("target").to_numpy(), rows.column("text").combine_chunks())
 
