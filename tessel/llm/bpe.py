@@ -5,8 +5,8 @@ distinct words that a batch brings anew go into a trie.  A depth-first walk keep
 for the prefix at every depth, the *last token* of that prefix's encoding: token t
 ends the encoding of a prefix when t is its suffix and t may follow the last token
 of the rest (merging the two alone gives the two back).  Exactly one t does, so a
-prefix that many words share is encoded once, and a word's ids are read by
-stepping back from its end.
+prefix that many words share is encoded once, and a word's ids are those of the
+prefix before its last token, and that token.
 
 Vocabulary files are read by the driver (2 MB) and broadcast.  Results per word
 are remembered, at most ``REMEMBERED`` of them in a task's process.
@@ -68,19 +68,26 @@ class Vocabulary:
         self.bytes_table = str.maketrans(self.bytes)
 
     def pieces(self, raw: bytes) -> list[str | int]:
-        """A run without ASCII white space as words in the byte alphabet, special tokens as ids."""
-        if raw.isalpha():  # ASCII letters alone
-            return [raw.lower().decode()]
+        """A run without ASCII white space as lower-case words, special tokens as ids."""
         text, out = raw.decode("utf-8"), []
         for part in self.cut(text) if "<|" in text else (text,):
             if part in self.special:
                 out.append(self.special[part])
-            elif part.isascii():
-                out += self.find(part.lower())
-            else:  # each character is lowered by itself: a final sigma gets no other form
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += [w.encode("utf-8").decode("latin-1") for w in self.find(part)]
-        return [w if isinstance(w, int) else w.translate(self.bytes_table) for w in out]
+                continue
+            if not part.isascii():  # each character is lowered by itself: a final sigma gets no other form
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+            part = part.lower()
+            if part.isalpha():
+                out.append(part)
+            elif part[:-1].isalpha() and part[-1] in ".,":
+                out += (part[:-1], part[-1])
+            else:
+                out += self.find(part)
+        return out
+
+    def lettered(self, word: str) -> str:
+        """A word in the byte alphabet."""
+        return (word if word.isascii() else word.encode("utf-8").decode("latin-1")).translate(self.bytes_table)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: merge the neighbours of lowest rank, from the left, until none is left."""
@@ -106,50 +113,47 @@ class Vocabulary:
         return known[before]
 
     def encode(self, words: Iterable[str]) -> dict[str, tuple[bytes, str]]:
-        """Packed ids and spaced token strings of each word (in the byte alphabet), by a depth-first walk of their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for letter in word:
-                if (below := node.get(letter)) is None:
-                    node[letter] = below = {}
-                node = below
-            node[""] = word
+        """Packed ids and spaced token strings of each word, by a depth-first walk of their trie in the byte alphabet.
+
+        The trie is path-compressed: in sorted order each word branches off its predecessor's path at the
+        letters they share, and that order is the trie's depth-first one.  States above the branch stay.
+        """
         out: dict[str, tuple[bytes, str]] = {}
-        # Of the prefix at each depth: its last token, its packed ids and its token strings.
-        last, packed, named = [""], [b""], [""]
         entry, follows, longest, end = self.entries.get, self.follows, self.longest, self.end
-        stack = [("", iter(root.items()))]
-        while stack:
-            above, children = stack[-1]
-            depth = len(stack)
-            for letter, below in children:
-                tail = (above + letter)[-longest:]
-                for whole in ((True, False) if "" in below and len(below) > 1 else ("" in below,)):
-                    for size in range(len(tail), 0, -1):
-                        token = tail[-size:] + end if whole else tail[-size:]
-                        if (of := entry(token)) is not None:
-                            before = last[depth - size]
-                            fits = of[1].get(before)
-                            if fits or fits is None and follows(before, token):
-                                break
-                    else:
-                        raise ValueError(f"no token for {tail!r}")
-                    its_ids, its_names = packed[depth - size] + of[0], f"{named[depth - size]} {token}"
-                    if whole:
-                        out[below[""]] = its_ids, its_names
-                        if len(below) == 1:
-                            break
-                    else:
-                        del last[depth:], packed[depth:], named[depth:]
-                        last.append(token)
-                        packed.append(its_ids)
-                        named.append(its_names)
-                if not whole:
-                    stack.append((tail, ((x, y) for x, y in below.items() if x)))
+        # Of the prefix at each depth of the path: its last token (None: not needed yet), packed ids and token strings.
+        last: list[str | None] = [""]
+        packed, named = [b""], [""]
+        above = ""
+
+        def state(depth: int, suffix: str) -> tuple[str, bytes, str]:
+            """Last token, ids and names of the path's first letters, with ``suffix`` as its end."""
+            for start in range(max(0, depth - longest), depth):
+                token = word[start:depth] + suffix
+                if (of := entry(token)) is not None:
+                    if (before := last[start]) is None:
+                        before, packed[start], named[start] = state(start, "")
+                        last[start] = before
+                    fits = of[1].get(before)
+                    if fits or fits is None and follows(before, token):
+                        return token, packed[start] + of[0], f"{named[start]} {token}"
+            raise ValueError(f"no token ends {word[:depth]!r}")
+
+        for word, name in sorted((self.lettered(w), w) for w in words):
+            n, shared = len(word), 0
+            for one, other in zip(above, word):
+                if one != other:
                     break
-            else:
-                stack.pop()
+                shared += 1
+            fresh = n - shared
+            last[shared + 1 :] = [None] * fresh
+            if len(packed) <= n:
+                packed += [b""] * (n + 1 - len(packed))
+                named += [""] * (n + 1 - len(named))
+            for depth in range(64, n, 64):  # so that a very long word's states don't wait for each other
+                if last[depth] is None:
+                    last[depth], packed[depth], named[depth] = state(depth, "")
+            out[name] = state(n, end)[1:]
+            above = word
         return out
 
 
@@ -170,10 +174,13 @@ class Encoder:
             cls._made[cls, hash(spec)] = cls(spec)
         return cls._made[cls, hash(spec)]
 
+    def coded(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
+        return self.vocabulary.encode(words)
+
     def learn(self, runs: set[bytes]) -> None:
         pieces = {run: self.vocabulary.pieces(run) for run in runs}
         new = {w for p in pieces.values() for w in p if isinstance(w, str)} - self.words.keys()
-        found = self.vocabulary.encode(new)
+        found = self.coded(new)
         if len(self.words) + len(new) > REMEMBERED:
             found = {w: self.words.get(w) or found[w] for p in pieces.values() for w in p if isinstance(w, str)}
             self.words = {}

@@ -39,7 +39,7 @@ WELL_FILLED = 0.97
 
 
 class LibraryEncoder(Encoder):
-    """Runs of characters encoded by the tokenizers library, each distinct one once while remembered."""
+    """Words encoded by the tokenizers library, each distinct one once while remembered."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -49,13 +49,22 @@ class LibraryEncoder(Encoder):
         self.library.no_truncation()
         self.library.no_padding()
 
-    def learn(self, runs: set[bytes]) -> None:
-        listed = list(runs)
-        for at in range(0, len(listed), 4096):
-            part = listed[at : at + 4096]
-            coded = self.library.encode_batch_fast([r.decode("utf-8") for r in part], add_special_tokens=False)
-            for run, one in zip(part, coded):
-                self.runs[run] = np.array(one.ids, "<u4").tobytes(), ""
+    def coded(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
+        """Many words make one text for the library; its word numbers say which ids are whose."""
+        listed, found = list(words), {}
+        for at in range(0, len(listed), 512):
+            part = listed[at : at + 512]
+            one = self.library.encode(" ".join(part), add_special_tokens=False)
+            numbers, ids = np.array(one.word_ids, np.int64), np.array(one.ids, "<u4")
+            starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+            if len(starts) == len(part):
+                packed = ids.tobytes()
+                for word, start, end in zip(part, starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+                    found[word] = packed[4 * start : 4 * end], ""
+            else:  # a word that isn't one word of its own beside others
+                for word in part:
+                    found[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), ""
+        return found
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
