@@ -9,12 +9,13 @@ differ in at most ``2 * CHUNKS - 1`` values share a chunk with at most one error
 every such pair meets in a bucket.  (Beyond that distance most pairs meet too: a
 pair of similarity 0.75 is missed with probability 0.0001.)
 
-No bucket emits all its pairs.  First every class is compared with its bucket's
-smallest class (a star).  Then buckets that still hold several components compare
-their signatures in numpy, block against block, and emit only pairs of different
-components whose signatures differ in at most ``MOST_DIFFERENT`` values.  Every
-emitted pair is confirmed on the full sets.  Buckets have no size limit: a large one
-is dealt into slices, and each pair of slices is a group of its own.
+No bucket emits its pairs.  A bucket is walked breadth first in numpy, comparing
+signatures, and hands over only a spanning forest of the pairs that differ in at most
+``MOST_DIFFERENT`` values.  The connected components of these forests are clusters;
+every link lies inside one.  The classes of a cluster are then compared on their full
+sets, again handing over only the links that join what is still apart.  Buckets and
+clusters have no size limit: a large one is dealt into slices of bounded size, and each
+pair of slices is a group of its own.
 
 Edge cases: without words or text a row's set is empty; it links with nothing and is
 kept.  Repeated rows are one class.  Rows without id take part; their own
@@ -37,8 +38,9 @@ from tessel.llm.text import Chunk, chunks, distinct, mix64, windows
 
 SHINGLE, CHUNKS, CHUNK = 5, 12, 6
 VALUES = CHUNKS * CHUNK
-MOST_DIFFERENT = 36
-SLICE = 2048
+MOST_DIFFERENT = 32
+#: Rows of a bucket's slice, and of a cluster's (these carry full sets).
+SLICE, CLUSTER_SLICE = 2048, 256
 _MULTIPLIERS = mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -113,26 +115,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _alike(a: str, b: str) -> F.Column:
-    """Sets whose sizes differ too much can't reach the similarity."""
-    return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
-
-
-def _near_in_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The (a, b) whose signatures differ in at most MOST_DIFFERENT values."""
-    named = lambda x: classes.select(F.col("node").alias(x), F.col("signature").alias(f"{x}_signature"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, VALUES) for k in (2, 3))
-                near = (one != other).sum(1) <= MOST_DIFFERENT
-                yield batch.select([0, 1]).filter(pa.array(near))
-
-    joined = pairs.join(named("a"), "a").join(named("b"), "b")
-    return joined.select("a", "b", "a_signature", "b_signature").mapInArrow(run, "a long, b long")
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(node, shingles binary) of the wanted (node, rep): the full sets, from the texts of their representatives."""
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -152,24 +134,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str)
     return found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) with 100 * intersection >= 75 * union of their full sets."""
-    named = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for one, other in zip(batch.column(2), batch.column(3)):
-                one, other = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
-                both = np.concatenate([one, other])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= 75 * (len(both) - common))
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
-
-    return pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
-
-
 def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Batches sorted by their first columns, joined so that no group is cut."""
     rest: pa.Table | None = None
@@ -188,68 +152,107 @@ def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Tabl
         yield rest
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket (or of two of its slices) in different components and near in signature."""
+def _groups(held: pa.Table) -> Iterator[tuple[int, int]]:
+    keys = [held.column(k).to_numpy() for k in range(3)]
+    starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+    yield from zip(starts.tolist(), [*starts[1:].tolist(), held.num_rows])
+
+
+def _sizes_alike(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Sets whose sizes differ too much can't reach the similarity."""
+    return 100 * np.minimum(one, other) >= 75 * np.maximum(one, other)
+
+
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, VALUES)
+
+
+def _links(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    one, other = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], names=["a", "b"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the near signatures of each bucket, or across two slices of one."""
+    for held in _grouped(batches, 3):
+        p, q, own, node, size = (held.column(k).to_numpy() for k in range(1, 6))
+        signature = _signatures(held.column(6))
+        out = []
+        for start, end in _groups(held):
+            across = p[start] != q[start]
+            todo, waiting = np.arange(start, end), []
+            while len(todo) or waiting:
+                if not waiting:
+                    waiting, todo = [int(todo[0])], todo[1:]
+                at = waiting.pop()
+                if not len(todo):
+                    break
+                near = ((signature[todo] != signature[at]).sum(1) <= MOST_DIFFERENT) & _sizes_alike(size[todo], size[at])
+                if across:
+                    near &= own[todo] != own[at]
+                if near.any():
+                    found = todo[near]
+                    out.append((np.full(len(found), node[at]), node[found]))
+                    waiting += found.tolist()
+                    todo = todo[~near]
+        yield _links(out)
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links, confirmed on full sets, that join the classes of a cluster's slice, or of two slices."""
     for held in _grouped(batches, 3):
-        key, p, q, own, node, root, size = (held.column(k).to_numpy() for k in range(7))
-        signature = np.frombuffer(b"".join(held.column(7).to_pylist()), "<u2").reshape(-1, VALUES)
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
-        for start, end in zip(starts, np.r_[starts[1:], held.num_rows]):
-            rows = np.arange(start, end)
-            left = rows[own[rows] == p[start]]
-            right = rows[own[rows] == q[start]]
-            for at in range(0, len(left), 64):
-                some = left[at : at + 64]
-                apart = root[some][:, None] != root[right][None, :]
-                if p[start] == q[start]:
-                    apart &= node[some][:, None] < node[right][None, :]
-                small, large = np.minimum(size[some][:, None], size[right][None, :]), np.maximum(size[some][:, None], size[right][None, :])
-                i, j = np.nonzero(apart & (100 * small.astype(np.int64) >= 75 * large.astype(np.int64)))
-                for k in range(0, len(i), 65536):
-                    one, other = some[i[k : k + 65536]], right[j[k : k + 65536]]
-                    near = (signature[one] != signature[other]).sum(1) <= MOST_DIFFERENT
-                    a, b = node[one[near]], node[other[near]]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def _across_components(met: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes that share a bucket, lie in different components and are near in signature."""
-    rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
-    rows = rooted.join(mixed, "key").join(classes.select("node", "signature"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root", "size", "signature")
-    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_across, "a long, b long").distinct()
+        p, q, own, node, size = (held.column(k).to_numpy() for k in range(1, 6))
+        signature = _signatures(held.column(6))
+        sets = [np.frombuffer(x, np.uint64) for x in held.column(7).to_pylist()]
+        out = []
+        for start, end in _groups(held):
+            across = p[start] != q[start]
+            root = np.arange(end - start)
+            for at in range(start, end):
+                rest = np.arange(at + 1, end)
+                apart = (root[rest - start] != root[at - start]) & _sizes_alike(size[rest], size[at])
+                if across:
+                    apart &= own[rest] != own[at]
+                rest = rest[apart]
+                rest = rest[(signature[rest] != signature[at]).sum(1) <= MOST_DIFFERENT]
+                if not len(rest):
+                    continue
+                every = np.concatenate([sets[k] for k in rest])
+                place = np.minimum(np.searchsorted(sets[at], every), len(sets[at]) - 1)
+                lengths = size[rest].astype(np.int64)
+                common = np.add.reduceat((sets[at][place] == every).astype(np.int64), np.cumsum(lengths) - lengths)
+                for k in rest[100 * common >= 75 * (lengths + size[at] - common)]:
+                    if root[k - start] != root[at - start]:
+                        out.append((node[[at]], node[[k]]))
+                        root[root == root[k - start]] = root[at - start]
+        yield _links(out)
+
+
+def _in_slices(rows: DataFrame, key: str, most: int, *columns: str) -> DataFrame:
+    """``rows`` (with ``n``, the rows of their key) once for every pair of slices they belong to, sorted by pair."""
+    rows = rows.withColumn("slices", F.ceil(F.col("n") / most).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
+    rows = rows.select(key, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "size", *columns)
+    return rows.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles long, component_id, kept boolean) of each row of ``docs``."""
     prints = written(fingerprints(docs, id_column, text_column), "fingerprints")
-    classes = written(prints.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")), "classes")
+    classes = written(prints.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature")), "classes")
     keys = classes.select("node", "size", "signature").mapInArrow(_keys, "key long, node long, size int")
-    shared = keys.groupBy("key").agg(F.min(F.struct("node", "size")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
-    met = written(keys.join(shared, "key").select("key", "node", "size", F.col("pivot.node").alias("pivot"), F.col("pivot.size").alias("pivot_size")), "buckets")
-
-    stars = met.where("node <> pivot").where(_alike("size", "pivot_size")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(_near_in_signature(stars, classes), "stars")
-    known = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    reps = classes.select("node", "rep")
-    sets = written(_sets(docs, known(stars).join(reps, "node"), id_column, text_column), "sets")
-    links = written(_confirmed(stars, sets), "confirmed")
-    roots = components(links)
-
-    more = written(_across_components(met.select("key", "node", "size"), roots, classes).join(stars, ["a", "b"], "left_anti"), "across")
-    new = known(more).join(sets, "node", "left_anti")
-    if not new.isEmpty():
-        sets = sets.unionByName(written(_sets(docs, new.join(reps, "node"), id_column, text_column), "sets"))
-    further = written(_confirmed(more, sets), "confirmed")
-    if not further.isEmpty():
-        # The links found first are their components' roots by now.
-        roots = components(further.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-
-    grouped = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = written(keys.join(shared, "key"), "buckets").join(classes.select("node", "signature"), "node")
+    forest = _in_slices(met, "key", SLICE, "signature").mapInArrow(_forest, "a long, b long").distinct()
+
+    roots = components(forest)
+    members = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = written(members.join(classes, "node"), "members")
+    sets = _sets(docs, members.select("node", "rep"), id_column, text_column)
+    full = members.join(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").join(sets, "node")
+    roots = components(_in_slices(full, "root", CLUSTER_SLICE, "signature", "shingles").mapInArrow(_joining, "a long, b long"))
+
+    grouped = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = grouped.join(smallest, "root").select("node", "component_id")
     out = prints.select("id", "n_shingles", "node").join(named, "node", "left")
