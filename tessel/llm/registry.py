@@ -9,6 +9,7 @@ from tessel.llm.packing import op6_best_fit_packing
 from tessel.llm.perplexity import op3_quality_rules
 from tessel.llm.quality import op10_quality
 from tessel.llm.toxicity import op5_toxicity
+from tessel.llm.warc import op2_warc_derivatives
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_quality_rules, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_bpe_encoding, op8_lm_scoring, op9_nearest_neighbours, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_warc_derivatives, op3_quality_rules, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_bpe_encoding, op8_lm_scoring, op9_nearest_neighbours, op10_quality)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
