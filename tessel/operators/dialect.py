@@ -39,7 +39,7 @@ class Layers:
 
     def toward(self, sign: int) -> tuple[Column, Column]:
         """One step along the axis on which the layers' centres are further apart; rows win ties."""
-        mean = lambda x, n: F.aggregate(x, F.lit(0.0), lambda a, y: a + y[n]) / F.size(x)
+        mean = lambda x, n: F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, y: a + y[n]), F.size(x))
         f = self.f
         dy, dx = f.let(mean(self.tgt, "r") - mean(self.src, "r")), f.let(mean(self.tgt, "c") - mean(self.src, "c"))
         down = F.abs(dy) >= F.abs(dx)
