@@ -3,7 +3,7 @@
 from tessel.llm.bpe import op7_bpe_encoding
 from tessel.llm.chat import OP1_SQL, op1_chat_formatting
 from tessel.llm.maxent import op8_lm_scoring
-from tessel.llm.neardup import op4_near_duplicates
+from tessel.llm.neardup import OP4_SQL, op4_near_duplicates
 from tessel.llm.neighbours import op9_nearest_neighbours
 from tessel.llm.packing import op6_best_fit_packing
 from tessel.llm.perplexity import op3_quality_rules
@@ -12,4 +12,4 @@ from tessel.llm.toxicity import op5_toxicity
 from tessel.llm.warc import op2_warc_derivatives
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_warc_derivatives, op3_quality_rules, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_bpe_encoding, op8_lm_scoring, op9_nearest_neighbours, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op4_near_duplicates": OP4_SQL}
