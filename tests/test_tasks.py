@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessel.plans import programs, queries, tables
+from tessel.plans import families, more, programs, queries, tables
 from tessel.sources import tasks
 from tessel.sources.grids import from_text, to_cells
 from tessel.streaming import programs as stream
@@ -72,7 +72,7 @@ def database():
     return connection
 
 
-@pytest.mark.parametrize("name", ["grid_half_logic", "grid_rot90", "grid_crop_to_object", "grid_fill_holes", "grid_select_cell", "grid_majority_filter", *tables.ORACLE_SQL])
+@pytest.mark.parametrize("name", ["grid_half_logic", "grid_rot90", "grid_crop_to_object", "grid_fill_holes", "grid_select_cell", "grid_majority_filter", "relation_fill_bbox", "generate_bars", "generate_periodic", *tables.ORACLE_SQL])
 def test_against_duckdb(spark, database, name):
     got = entry.queries()[name](spark, "/root/testdata/sf0.001")
     columns = sorted(got.columns)
@@ -88,3 +88,10 @@ def test_every_operator_has_a_query():
 
 def test_flagship(spark):
     assert entry.entry(spark).where(F.col("v") > 0).count() > 0
+
+
+def test_families(spark):
+    assert len(families.FAMILIES) == 33 and len(more.QUERIES) == 32
+    for name in ("isolate_crop_frame", "panels_to_pixels", "motif_zoom", "rank_and_fall"):
+        rows = families.QUERIES[f"family_{name}"](spark, "/root/testdata/sf0.001")
+        assert rows.where("v > 0").count() > 0
