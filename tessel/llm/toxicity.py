@@ -20,6 +20,7 @@ null ids included.  Without labels of both kinds every score is 0.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -120,10 +121,10 @@ class _Bags:
 
     def __init__(self, texts: pa.Array, doc: np.ndarray):
         self.n = len(texts)
-        words, window = [], []
+        words, window = array("i"), array("i")
         known: dict[bytes, int] = {}
-        for i, text in enumerate(texts.to_pylist()):
-            for word in text.encode("utf-8").lower().split():
+        for i, text in enumerate(texts):
+            for word in text.as_py().encode("utf-8").lower().split():
                 words.append(known.setdefault(word, len(known)))
                 window.append(i)
         self.words, self.window = np.array(words, np.int32), np.array(window, np.int32)
@@ -136,22 +137,23 @@ class _Bags:
             bucket.append(b)
         self.of, self.bucket = (np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (of, bucket))
         self.n_words = len(known)
-        self.word_share = 1 / np.maximum(1, np.bincount(self.of, minlength=self.n_words))[self.of]
+        self.word_share = (1 / np.maximum(1, np.bincount(self.of, minlength=self.n_words))).astype(np.float32)[self.of]
         # Distinct (document, word) pairs with each n-gram.
         pairs = np.unique(doc[self.window].astype(np.int64) * max(1, self.n_words) + self.words) if len(self.words) else self.words
-        order = np.argsort(self.of, kind="stable")
-        self.of, self.bucket, self.word_share = self.of[order], self.bucket[order], self.word_share[order]
         seen = np.zeros(BUCKETS, np.int64)
         n_docs = np.bincount(pairs % max(1, self.n_words), minlength=self.n_words)
-        np.add.at(seen, self.bucket, n_docs[self.of])
+        seen += np.bincount(self.bucket, n_docs[self.of], minlength=BUCKETS).astype(np.int64)
         kept = seen[self.bucket] >= LEAST_DOCUMENTS
         self.of, self.bucket, self.word_share = self.of[kept], self.bucket[kept], self.word_share[kept]
-        self.used, self.bucket = np.unique(self.bucket, return_inverse=True)
-        self.bucket, self.word_share, self.share = self.bucket.astype(np.int32), self.word_share.astype(np.float32), self.share.astype(np.float32)
+        self.used = np.flatnonzero(np.bincount(self.bucket, minlength=BUCKETS))
+        place = np.zeros(BUCKETS, np.int32)
+        place[self.used] = np.arange(len(self.used))
+        self.bucket, self.share = place[self.bucket], self.share.astype(np.float32)
 
 
-def _summed(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(index, values[:, k], minlength=n) for k in range(values.shape[1])], 1)
+def _summed(index: np.ndarray, table: np.ndarray, rows: np.ndarray, share: np.ndarray, n: int) -> np.ndarray:
+    """Sums of shares of a table's rows by index, a column at a time."""
+    return np.stack([np.bincount(index, column[rows] * share, minlength=n) for column in np.ascontiguousarray(table.T, np.float32)], 1)
 
 
 def fit(doc: np.ndarray, target: np.ndarray, texts: pa.Array, seed: int = 0, rounds: tuple[int, ...] = (20, 8, 8, 8, 8)) -> Model:
@@ -178,8 +180,8 @@ def fit(doc: np.ndarray, target: np.ndarray, texts: pa.Array, seed: int = 0, rou
     y = target.astype(int)
 
     def forward() -> tuple[np.ndarray, np.ndarray]:
-        words = _summed(bags.of, vectors[bags.bucket] * bags.word_share[:, None], bags.n_words)
-        mean = _summed(bags.window, words[bags.words] * bags.share[:, None], bags.n)
+        words = _summed(bags.of, vectors, bags.bucket, bags.word_share, bags.n_words)
+        mean = _summed(bags.window, words, bags.words, bags.share, bags.n)
         return mean, mean @ softmax + bias
 
     for n, steps in enumerate(rounds):
@@ -201,8 +203,8 @@ def fit(doc: np.ndarray, target: np.ndarray, texts: pa.Array, seed: int = 0, rou
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
             wrong = p * weight[:, None]
-            to_words = _summed(bags.words, (wrong @ softmax.T)[bags.window] * bags.share[:, None], bags.n_words)
-            slopes = [_summed(bags.bucket, to_words[bags.of] * bags.word_share[:, None], len(bags.used)), mean.T @ wrong, wrong.sum(0)]
+            to_words = _summed(bags.words, wrong @ softmax.T, bags.window, bags.share, bags.n_words)
+            slopes = [_summed(bags.bucket, to_words, bags.of, bags.word_share, len(bags.used)), mean.T @ wrong, wrong.sum(0)]
             step += 1
             for x, slope, moment in zip((vectors, softmax, bias), slopes, moments):
                 slope = slope + DECAY * x
