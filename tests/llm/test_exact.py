@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessel.llm import bpe, chat, maxent, neardup, neighbours, packing, perplexity
@@ -125,6 +126,20 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, odd_rows):
     assert neardup.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_far_apart_in_signature(spark):
+    # Pairs of similarity 24 / 32 that meet in a bucket though 33 of their 72 values differ.
+    texts = [" ".join(f"s{i}w{j}" for j in range(at, at + 32)) for i in (25792, 34749, 51610) for at in (0, 4)]
+    rows = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i - i % 2 for i in range(6)}
+
+
+def test_links_of_a_cluster_are_confirmed_on_sets_alone():
+    sets = [np.arange(at, at + 28, dtype=np.uint64).tobytes() for at in (0, 4, 8)]
+    rows = pa.table({"root": [1] * 3, "p": [0] * 3, "q": [0] * 3, "own": [0] * 3, "node": [1, 2, 3], "size": [28] * 3, "shingles": sets})
+    found = pa.Table.from_batches(neardup._joining(iter(rows.to_batches())))
+    assert list(zip(found["a"].to_pylist(), found["b"].to_pylist())) == [(2, 1), (3, 2)]
+
+
 def test_statistics_of_quality_rules(spark, odd_docs, odd_rows):
     rows = perplexity.quality_rules(odd_docs).collect()
     wanted = []
