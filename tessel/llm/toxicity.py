@@ -6,9 +6,10 @@ shares most of its vector with the word it hides.  A window of ``WINDOW`` words
 the mean of its words, and a linear softmax over that says clean or toxic.  A
 document is as toxic as its most toxic window, so a long text does not dilute a few
 words.  Vectors and softmax are trained jointly in numpy on a bounded sample of
-labelled documents: every window of a toxic document at first, then only the one the
-model finds most toxic, against all windows of the clean ones.  A part of the sample
-sets the scale of the scores.
+labelled documents, whole texts of any length: every window of a toxic document at first,
+then only the one the model finds most toxic, against all windows of the clean ones.  A
+part of the sample sets the scale of the scores, by the same maximum over sliding windows
+of whole texts as in scoring.
 
 For scoring, the softmax is applied to the n-gram table once; tasks get that table of
 ``BUCKETS`` numbers.  Sliding windows over whole texts are prefix sums.
@@ -38,8 +39,8 @@ SIZES = (3, 4, 5)
 BITS = 19
 BUCKETS = 1 << BITS
 DIMENSIONS = 2
-#: Most labelled documents, clean and toxic, that the model is fitted on, and most windows of each of them.
-SAMPLED, WINDOWS_PER_DOCUMENT = (1000, 1500), (200, 400)
+#: Most labelled documents, clean and toxic, that the model is fitted on; their texts are taken whole.
+SAMPLED = (1000, 1500)
 #: An n-gram seen in fewer words of documents of the sample has no vector: it could only be learned by heart.
 LEAST_DOCUMENTS = 10
 THRESHOLD = 0.7
@@ -105,15 +106,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.window_scores(chunk) * self.scale + self.shift, -30, 30)))
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of each sampled text, evenly spaced where it has more than WINDOWS_PER_DOCUMENT."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            words = (batch.column(1)[at].as_py() or "").encode("utf-8").split()
-            starts = list(range(0, max(1, len(words)), WINDOW))
-            picked = [starts[i] for i in np.unique(np.linspace(0, len(starts) - 1, min(len(starts), WINDOWS_PER_DOCUMENT[batch.column(2)[at].as_py()])).astype(int))]
-            texts = [b" ".join(words[i : i + WINDOW]).decode("utf-8") for i in picked]
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at].as_py()] * len(texts), pa.int64()), pa.array([batch.column(2)[at].as_py()] * len(texts), pa.int32()), pa.array(texts)], names=["doc_id", "target", "text"])
+def _windows(text: str | None) -> list[str]:
+    """All words of a text, WINDOW at a time; an empty window if there are none."""
+    words = (text or "").encode("utf-8").split()
+    return [b" ".join(words[i : i + WINDOW]).decode("utf-8") for i in range(0, max(1, len(words)), WINDOW)]
 
 
 class _Bags:
@@ -157,7 +153,7 @@ def _summed(index: np.ndarray, table: np.ndarray, rows: np.ndarray, share: np.nd
 
 
 def fit(doc: np.ndarray, target: np.ndarray, texts: pa.Array, seed: int = 0, rounds: tuple[int, ...] = (20, 8, 8, 8, 8)) -> Model:
-    """Trains vectors and softmax on windows ``texts`` of documents ``doc`` with the documents' labels ``target``."""
+    """Trains vectors and softmax on windows ``texts``, in their order, of documents ``doc`` with the documents' labels ``target``."""
     none = Model(np.zeros(BUCKETS), -30.0, 1.0, 0.0)
     if not len(doc) or target.min() == target.max():
         return none
@@ -213,11 +209,14 @@ def fit(doc: np.ndarray, target: np.ndarray, texts: pa.Array, seed: int = 0, rou
                 x -= RATE * moment[0] / (1 - 0.9**step) / (np.sqrt(moment[1] / (1 - 0.99**step)) + SOFT)
     weights = np.zeros(BUCKETS)
     weights[bags.used] = vectors @ (softmax[:, 1] - softmax[:, 0])
-    margin = (lambda z: z[:, 1] - z[:, 0])(forward()[1])
-    best = np.full(len(names), -np.inf)
-    np.maximum.at(best, which, margin)
-    scale, shift = _line(best[tuning], label[tuning])
-    return Model(weights, float(bias[1] - bias[0]), scale, shift)
+    model = Model(weights, float(bias[1] - bias[0]), 1.0, 0.0)
+    rows = np.flatnonzero(tuning[which])
+    rows = rows[np.argsort(which[rows], kind="stable")]
+    cuts = np.flatnonzero(np.diff(which[rows])) + 1
+    whole = pa.array([" ".join(texts.take(pa.array(part)).to_pylist()) for part in np.split(rows, cuts)], pa.string())
+    best = np.concatenate([model.window_scores(part) for part in chunks(whole, 1 << 20)])
+    model.scale, model.shift = _line(best, label[tuning])
+    return model
 
 
 def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -237,8 +236,11 @@ def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", allowed: F.Column | None = None) -> Model:
     """A model from at most SAMPLED labelled documents, fitted on the driver."""
     sample = labelled(docs, labels, target, F.lit(True) if allowed is None else allowed, SAMPLED)
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "target").mapInArrow(_windows, "doc_id long, target int, text string").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(rows.column("doc_id").to_numpy(), rows.column("target").to_numpy(), rows.column("text").combine_chunks())
+    rows = sample.select(F.col("doc_id").cast("long"), "text", "target").toArrow().group_by(["doc_id", "text", "target"]).aggregate([])
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    target, cut = rows.column("target").to_numpy(), [pa.array(_windows(text.as_py()), pa.string()) for text in rows.column("text")]
+    doc = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+    return fit(doc, target[doc], pa.concat_arrays(cut) if cut else pa.array([], pa.string()))
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

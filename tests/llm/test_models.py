@@ -50,6 +50,24 @@ def test_misspellings_share_ngrams():
     assert scores[0] > 0.5 > scores[1]
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    # The rude words of a toxic text are all in windows that 400 evenly spaced ones of its 1000 leave out.
+    rng = np.random.default_rng(1)
+    prose = lambda n: [f"{a}{b}" for a, b in zip(rng.choice(["wa", "ri", "lo", "mu"], n), rng.choice(["ten", "sol", "gar", "pim"], n))]
+    texts = [prose(4000) for _ in range(80)]
+    left_out = np.setdiff1d(np.arange(1000), np.linspace(0, 999, 400).astype(int))
+    for words in texts[40:]:
+        for at in left_out[::3]:
+            words[4 * at + 1] = "gruntlepox"
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    long, short = prose(20_000), prose(20)
+    held = pa.array([" ".join(w) for w in (long, short, [*long[:15_001], "gruntlepox", *long[15_001:]], [*short, "gruntlepox"])])
+    scores = np.concatenate([model.scores(chunk) for chunk in text.chunks(held)])
+    assert scores[:2].max() < 0.5 < scores[2:].min()
+
+
 def test_scores_of_odd_rows(spark, odd_docs, odd_rows):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     for module, target in ((toxicity, "toxic"), (quality, "quality")):
