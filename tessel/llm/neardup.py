@@ -6,18 +6,20 @@ start.  A class has a signature of ``CHUNKS * CHUNK`` MinHash values of 16 bits,
 split into ``CHUNKS`` chunks.  One differing value is allowed in a chunk: each chunk
 is indexed once for every position left out.  By pigeonhole two signatures that
 differ in at most ``2 * CHUNKS - 1`` values share a chunk with at most one error, so
-every such pair meets in a bucket.  Beyond that distance most pairs meet too, but not
-all: of the pairs of similarity 0.75, 7% differ in 24 or more values, and 0.000105 of
-all are in no common bucket.
-
-No bucket emits its pairs.  A bucket is walked breadth first in numpy, comparing
-signatures, and hands over only a spanning forest of the pairs that differ in at most
-``MOST_DIFFERENT`` values (half of all: 0.0000014 of the pairs of similarity 0.75 differ
-in more).  The connected components of these forests are clusters.  All classes of a
-cluster are then compared on their full sets, whatever their signatures, again handing
-over only the links that join what is still apart.  Buckets and
-clusters have no size limit: a large one is dealt into slices of bounded size, and each
-pair of slices is a group of its own.
+every pair within ``MOST_DIFFERENT``, which is that number, meets in a bucket.  (Of the
+pairs of similarity 0.75, 0.000003 differ in more than 35 of 72 values.)
+
+No bucket emits its pairs.  Buckets of the same members are one.  A bucket is walked in
+numpy, comparing signatures of rows that aren't yet joined, and hands over only links
+that join them.  The connected components of these forests are clusters.  All classes
+of a cluster are then compared in the same way on their full sets, whatever their
+signatures.
+
+Buckets and clusters have no size limit.  A large one is dealt into slices of bounded
+size, each with the group's smallest row as a hub; so a group of rows that are all
+alike is joined in one linear pass.  Only where the rows of a large group are still
+apart after that, its slices are compared two by two, without the pairs that are joined
+already.
 
 Edge cases: without words or text a row's set is empty; it links with nothing and is
 kept.  Repeated rows are one class.  Rows without id take part; their own
@@ -27,7 +29,7 @@ Other columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,11 @@ from tessel.llm.components import components
 from tessel.llm.shared import table, written
 from tessel.llm.text import Chunk, chunks, distinct, mix64, windows
 
-SHINGLE, CHUNKS, CHUNK = 5, 12, 6
+SHINGLE, CHUNKS, CHUNK = 5, 18, 4
 VALUES = CHUNKS * CHUNK
-MOST_DIFFERENT = 36
-#: Rows of a bucket's slice, and of a cluster's (these carry full sets).
-SLICE, CLUSTER_SLICE = 2048, 256
+MOST_DIFFERENT = 2 * CHUNKS - 1
+#: Rows of a bucket's slice, and of a cluster's (these carry full sets), and shingles of a cluster's slice.
+SLICE, CLUSTER_SLICE, SLICE_SHINGLES = 2048, 256, 1 << 20
 _MULTIPLIERS = mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -72,11 +74,14 @@ def _set_names(doc: np.ndarray, shingles: np.ndarray, n: int) -> tuple[np.ndarra
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles long, node long: the set's name, null if empty, signature binary) of each row."""
+    """(id, other long, n_shingles long, node long: the set's name, null if empty, signature binary) of each row.
+
+    ``other`` names the texts of rows without id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(2)):
                 doc, shingles = shingle_sets(chunk)
                 sizes, names = _set_names(doc, shingles, chunk.n)
                 filled = np.flatnonzero(sizes)
@@ -89,12 +94,17 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                         signature[filled, k] = mix64(np.minimum.reduceat(work, first)) & np.uint64(0xFFFF)
                 empty = sizes == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, chunk.n), pa.array(sizes.astype(np.int64)), pa.array(names, mask=empty), pa.array([None if e else s.tobytes() for e, s in zip(empty, signature)], pa.binary())],
-                    names=["id", "n_shingles", "node", "signature"],
+                    [batch.column(0).slice(chunk.first, chunk.n), batch.column(1).slice(chunk.first, chunk.n), pa.array(sizes.astype(np.int64)), pa.array(names, mask=empty), pa.array([None if e else s.tobytes() for e, s in zip(empty, signature)], pa.binary())],
+                    names=["id", "other", "n_shingles", "node", "signature"],
                 )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, node long, signature binary")
+    return _texts(docs, id_column, text_column).mapInArrow(run, f"id {kind}, other long, n_shingles long, node long, signature binary")
+
+
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    text = F.col(text_column).cast("string")
+    return docs.select(F.col(id_column).alias("id"), F.when(F.col(id_column).isNull(), F.xxhash64(text)).alias("other"), text.alias("text"))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +128,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(node, shingles binary) of the wanted (node, rep): the full sets, from the texts of their representatives."""
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    found = texts.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
+    """(node, shingles binary) of the wanted (node, rep, other): the full sets, from the texts of their representatives.
+
+    A row without id meets only the class whose text it has.
+    """
+    same = F.col("id").eqNullSafe(F.col("rep")) & F.col("other").eqNullSafe(F.col("rep_other"))
+    found = _texts(docs, id_column, text_column).join(wanted.hint("shuffle_hash"), same).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,83 +187,107 @@ def _links(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], names=["a", "b"])
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the near signatures of each bucket, or across two slices of one."""
-    for held in _grouped(batches, 3):
-        p, q, own, node, size = (held.column(k).to_numpy() for k in range(1, 6))
-        signature = _signatures(held.column(6))
-        out = []
-        for start, end in _groups(held):
-            across = p[start] != q[start]
-            todo, waiting = np.arange(start, end), []
-            while len(todo) or waiting:
-                if not waiting:
-                    waiting, todo = [int(todo[0])], todo[1:]
-                at = waiting.pop()
-                if not len(todo):
-                    break
-                near = ((signature[todo] != signature[at]).sum(1) <= MOST_DIFFERENT) & _sizes_alike(size[todo], size[at])
-                if across:
-                    near &= own[todo] != own[at]
-                if near.any():
-                    found = todo[near]
-                    out.append((np.full(len(found), node[at]), node[found]))
-                    waiting += found.tolist()
-                    todo = todo[~near]
-        yield _links(out)
+def _joined(start: int, end: int, across: bool, own: np.ndarray, root: np.ndarray, node: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join the rows of one group; rows of equal label (by root, then by links found) aren't compared."""
+    label = np.unique(root[start:end], return_inverse=True)[1]
+    apart = int(label.max())
+    for at in range(end - start):
+        if not apart:
+            return
+        rest = label[at + 1 :] != label[at]
+        if across:
+            rest &= own[start + at + 1 : end] != own[start + at]
+        rest = np.flatnonzero(rest) + at + 1
+        if not len(rest):
+            continue
+        rest = rest[alike(start + at, start + rest)]
+        if len(rest):
+            names, first = np.unique(label[rest], return_index=True)
+            yield np.full(len(names), node[start + at]), node[start + rest[first]]
+            label[np.isin(label, names)] = label[at]
+            apart -= len(names)
 
 
-def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links, confirmed on full sets, that join the classes of a cluster's slice, or of two slices."""
+def _walk(batches: Iterator[pa.RecordBatch], reader: Callable[[pa.ChunkedArray, np.ndarray], Callable[[int, np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for held in _grouped(batches, 3):
-        p, q, own, node, size = (held.column(k).to_numpy() for k in range(1, 6))
-        sets = [np.frombuffer(x, np.uint64) for x in held.column(6).to_pylist()]
-        out = []
+        p, q, own, root, node, size = (held.column(k).to_numpy() for k in range(1, 7))
+        alike, out = reader(held.column(7), size), []
         for start, end in _groups(held):
-            across = p[start] != q[start]
-            root = np.arange(end - start)
-            for at in range(start, end):
-                rest = np.arange(at + 1, end)
-                apart = (root[rest - start] != root[at - start]) & _sizes_alike(size[rest], size[at])
-                if across:
-                    apart &= own[rest] != own[at]
-                rest = rest[apart]
-                if not len(rest):
-                    continue
-                every = np.concatenate([sets[k] for k in rest])
-                place = np.minimum(np.searchsorted(sets[at], every), len(sets[at]) - 1)
-                lengths = size[rest].astype(np.int64)
-                common = np.add.reduceat((sets[at][place] == every).astype(np.int64), np.cumsum(lengths) - lengths)
-                for k in rest[100 * common >= 75 * (lengths + size[at] - common)]:
-                    if root[k - start] != root[at - start]:
-                        out.append((node[[at]], node[[k]]))
-                        root[root == root[k - start]] = root[at - start]
+            out += _joined(start, end, p[start] != q[start], own, root, node, alike)
         yield _links(out)
 
 
-def _in_slices(rows: DataFrame, key: str, most: int, *columns: str) -> DataFrame:
-    """``rows`` (with ``n``, the rows of their key) once for every pair of slices they belong to, sorted by pair."""
-    rows = rows.withColumn("slices", F.ceil(F.col("n") / most).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
-    rows = rows.select(key, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "size", *columns)
-    return rows.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
+def _near_signatures(column: pa.ChunkedArray, size: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    signature = _signatures(column)
+    return lambda at, rest: ((signature[rest] != signature[at]).sum(1) <= MOST_DIFFERENT) & _sizes_alike(size[rest], size[at])
+
+
+def _similar_sets(column: pa.ChunkedArray, size: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    sets = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+    def similar(at: int, rest: np.ndarray) -> np.ndarray:
+        out = _sizes_alike(size[rest], size[at])
+        own = rest[out]
+        if len(own):
+            every = np.concatenate([sets[k] for k in own])
+            place = np.minimum(np.searchsorted(sets[at], every), len(sets[at]) - 1)
+            lengths = size[own].astype(np.int64)
+            common = np.add.reduceat((sets[at][place] == every).astype(np.int64), np.cumsum(lengths) - lengths)
+            out[out] = 100 * common >= 75 * (lengths + size[at] - common)
+        return out
+
+    return similar
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of near signatures that join the rows of each bucket's slice, or of two slices."""
+    yield from _walk(batches, _near_signatures)
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links, confirmed on full sets, that join the classes of a cluster's slice, or of two slices."""
+    yield from _walk(batches, _similar_sets)
+
+
+def _linked(rows: DataFrame, key: str, walk: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], payload: str) -> DataFrame:
+    """(node, root) of all nodes that links join: of a written table (key, slices int, node, size, payload) of groups."""
+    columns = [key, "p", "q", "own", "root", "node", "size", payload]
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).withColumn("root", F.col("node"))
+    large = rows.where("slices > 1")
+    hubs = large.groupBy(key).agg(F.min(F.struct("node", "size", payload, "slices")).alias("hub")).select(key, "hub.*", F.lit(-1).alias("own"), F.col("hub.node").alias("root"))
+    hubs = hubs.withColumn("p", F.explode(F.expr("sequence(0, slices - 1)"))).withColumn("q", F.col("p"))
+    once = rows.withColumn("p", F.col("own")).withColumn("q", F.col("own")).select(*columns).union(hubs.select(*columns))
+    dealt = lambda each: each.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
+    roots = components(dealt(once).mapInArrow(walk, "a long, b long"))
+    if large.isEmpty():
+        return roots
+    known = large.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = known.groupBy(key).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(key)
+    known = written(known.join(apart, key, "left_semi"), "apart")
+    if known.isEmpty():
+        return roots
+    twice = known.withColumn("other", F.explode(F.expr("sequence(0, slices - 1)"))).where("own <> other")
+    twice = twice.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select(*columns)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(dealt(twice).mapInArrow(walk, "a long, b long")))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles long, component_id, kept boolean) of each row of ``docs``."""
     prints = written(fingerprints(docs, id_column, text_column), "fingerprints")
-    classes = written(prints.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature")), "classes")
+    classes = prints.where("node is not null").groupBy("node", F.col("n_shingles").cast("int").alias("size"), "signature").agg(F.min("id").alias("rep"), F.min("other").alias("rep_other"))
+    classes = written(classes.withColumn("rep_other", F.when(F.col("rep").isNull(), F.col("rep_other"))), "classes")
     keys = classes.select("node", "size", "signature").mapInArrow(_keys, "key long, node long, size int")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = written(keys.join(shared, "key"), "buckets").join(classes.select("node", "signature"), "node")
-    forest = _in_slices(met, "key", SLICE, "signature").mapInArrow(_forest, "a long, b long").distinct()
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("other")).where("n > 1")
+    shared = shared.groupBy("n", "one", "other").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    met = written(keys.join(shared, "key").join(classes.select("node", "signature"), "node").select("key", "slices", "node", "size", "signature"), "buckets")
+    roots = _linked(met, "key", _forest, "signature")
 
-    roots = components(forest)
     members = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
-    members = written(members.join(classes.select("node", "rep", "size"), "node"), "members")
-    sets = _sets(docs, members.select("node", "rep"), id_column, text_column)
-    full = members.join(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").join(sets, "node")
-    roots = components(_in_slices(full, "root", CLUSTER_SLICE, "shingles").mapInArrow(_joining, "a long, b long"))
+    members = written(members.join(classes.select("node", "rep", "rep_other", "size"), "node"), "members")
+    sets = _sets(docs, members.select("node", "rep", "rep_other"), id_column, text_column)
+    many = F.greatest(F.count(F.lit(1)) / CLUSTER_SLICE, F.sum("size") / SLICE_SHINGLES)
+    full = members.select("node", "root", "size").join(members.groupBy("root").agg(F.ceil(many).cast("int").alias("slices")), "root").join(sets, "node")
+    roots = _linked(written(full.select(F.col("root").alias("cluster"), "slices", "node", "size", "shingles"), "clusters"), "cluster", _joining, "shingles")
 
     grouped = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessel.llm import bpe, chat, maxent, neardup, neighbours, packing, perplexity
+from tessel.llm.components import components as component_steps
 
 
 def words(text):
@@ -126,20 +127,51 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, odd_rows):
     assert neardup.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
-def test_near_duplicates_far_apart_in_signature(spark):
-    # Pairs of similarity 24 / 32 that meet in a bucket though 33 of their 72 values differ.
-    texts = [" ".join(f"s{i}w{j}" for j in range(at, at + 32)) for i in (25792, 34749, 51610) for at in (0, 4)]
-    rows = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i - i % 2 for i in range(6)}
+def test_all_pairs_within_the_distance_meet():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        one = rng.integers(0, 1 << 16, neardup.VALUES).astype("<u2")
+        other = one.copy()
+        other[rng.choice(neardup.VALUES, neardup.MOST_DIFFERENT, replace=False)] ^= 1
+        rows = pa.table({"node": [1, 2], "size": pa.array([9, 9], pa.int32()), "signature": [one.tobytes(), other.tobytes()]})
+        keys = pa.Table.from_batches(neardup._keys(iter(rows.to_batches())))
+        by = {n: set(keys.filter(pa.compute.equal(keys["node"], n))["key"].to_pylist()) for n in (1, 2)}
+        assert by[1] & by[2]
 
 
 def test_links_of_a_cluster_are_confirmed_on_sets_alone():
     sets = [np.arange(at, at + 28, dtype=np.uint64).tobytes() for at in (0, 4, 8)]
-    rows = pa.table({"root": [1] * 3, "p": [0] * 3, "q": [0] * 3, "own": [0] * 3, "node": [1, 2, 3], "size": [28] * 3, "shingles": sets})
+    rows = pa.table({"root": [1] * 3, "p": [0] * 3, "q": [0] * 3, "own": [0] * 3, "from": [1, 2, 3], "node": [1, 2, 3], "size": [28] * 3, "shingles": sets})
     found = pa.Table.from_batches(neardup._joining(iter(rows.to_batches())))
     assert list(zip(found["a"].to_pylist(), found["b"].to_pylist())) == [(2, 1), (3, 2)]
 
 
+def test_near_duplicates_in_many_slices(spark, monkeypatch):
+    # Buckets and clusters of far more rows than a slice: a chain (rows are apart after the hub's pass) and a star.
+    monkeypatch.setattr(neardup, "SLICE", 3)
+    monkeypatch.setattr(neardup, "CLUSTER_SLICE", 3)
+    texts = [" ".join(f"c{j}" for j in range(at, at + 64)) for at in range(0, 60, 4)]
+    base = [f"s{j}" for j in range(90)]
+    texts += [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 90, 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(components(texts)))
+
+
+def test_near_duplicates_without_ids(spark):
+    near = [" ".join(f"w{j}" for j in range(at, at + 60)) for at in (0, 2, 500)]
+    rows = [(None, near[0]), (None, near[1]), (None, near[1].upper()), (None, near[2]), (7, near[2])] + [(None, "")] * 2
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in found if r["n_shingles"]) == sorted(map(str, [(None, None, True)] * 3 + [(None, 7, False), (7, 7, True)]))
+
+
+def test_components_of_a_chain_and_a_hub(spark):
+    chain = [(i + 1, i) for i in range(40)]
+    hub = [(1000 + i, 999) for i in range(200)] + [(1050, 500)]
+    found = {r["node"]: r["root"] for r in component_steps(spark.createDataFrame(chain + hub, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(1, 41)} | {1000 + i: 500 for i in range(200)} | {999: 500}
+
+
 def test_statistics_of_quality_rules(spark, odd_docs, odd_rows):
     rows = perplexity.quality_rules(odd_docs).collect()
     wanted = []
