@@ -16,11 +16,14 @@ _AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 
 
 class Objects:
-    """``lab``: the grid of object numbers; ``all``: an array of structs, one for each object in object order."""
+    """``lab``: the grid of object numbers; ``all``: an array of structs, one for each object in object order.
 
-    def __init__(self, f: Frame, seg: str):
+    ``grid``, if given, is what is segmented (0: no object) in place of the grid itself.
+    """
+
+    def __init__(self, f: Frame, seg: str, grid: Column | None = None):
         self.f = f
-        found = f.let(labelled(f.g, seg))
+        found = f.let(labelled(f.g if grid is None else grid, seg))
         self.lab, holes = f.let(found["lab"]), found["holes"]
         everything = f.let(F.filter(cells(f.g, k=self.lab), lambda x: x["k"] > 0))
         parts = f.let(F.transform(holes, lambda _, i: F.filter(everything, lambda x: x["k"] == i + 1)))
@@ -34,7 +37,7 @@ class Objects:
                 F.array_max(F.transform(p, lambda x: x["r"])).alias("r1"),
                 F.array_min(F.transform(p, lambda x: x["c"])).alias("c0"),
                 F.array_max(F.transform(p, lambda x: x["c"])).alias("c1"),
-                (-F.array_max(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda v: F.struct(F.size(F.filter(p, lambda x: x["v"] == v)), (-v).alias("v"))))["v"]).alias("color"),
+                (-F.array_max(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda v: F.struct(F.size(F.filter(p, lambda x: x["v"] == v)), (-v).alias("v"))))["v"]).alias("color"),
                 F.array_sort(F.array_distinct(F.transform(p, lambda x: x["v"]))).alias("values"),
                 F.get(holes, i).alias("holes"),
             ),

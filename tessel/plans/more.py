@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessel.operators import OPERATORS
 from tessel.operators.dialect import RELATIONS
 from tessel.plans.queries import _BASE
+from tessel.sources import placements  # noqa: F401  (adds its kinds to GENERATORS)
 from tessel.sources.generators import COLORS, GENERATORS, PRIME, generate
 from tessel.sources.grids import ORDERS, from_lineitem, to_cells
 
