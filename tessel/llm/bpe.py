@@ -5,11 +5,13 @@ distinct words that a batch brings anew go into a trie.  A depth-first walk keep
 for the prefix at every depth, the *last token* of that prefix's encoding: token t
 ends the encoding of a prefix when t is its suffix and t may follow the last token
 of the rest (merging the two alone gives the two back).  Exactly one t does, so a
-prefix that many words share is encoded once, and a word's ids are those of the
-prefix before its last token, and that token.
+prefix that many words share is encoded once.  Beside the last token stands the depth
+where it starts, so a word's ids are read off by going back from its end, and memory
+grows with the longest word, not with its square.
 
 Vocabulary files are read by the driver (2 MB) and broadcast.  Results per word
-are remembered, at most ``REMEMBERED`` of them in a task's process.
+are remembered, at most ``REMEMBERED`` of them in a task's process, and at most ``PAIRS``
+pairs of tokens.
 
 Edge cases: null text is encoded as empty text: no ids, decoded "".  Strings of
 special tokens inside a text become those tokens.  Rows are kept one for one,
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from tessel.llm.shared import table
 
-REMEMBERED = 400_000
+#: Words, and as many runs, that a process remembers, and pairs of tokens that it knows to follow each other or not.
+REMEMBERED, PAIRS = 400_000, 1_000_000
 _LAST_MARK = re.compile(r"(?<=[^\W_])([.,])(?!\S)")
 _BATCH_BYTES = 8 << 20
 
@@ -60,6 +63,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         # Of each token: its packed id, and which tokens it may follow, as far as known.
         self.entries: dict[str, tuple[bytes, dict[str, bool]]] = {t: (i.to_bytes(4, "little"), {}) for t, i in self.ids.items()}
+        self.n_pairs = 0
         self.special_coded = {i: (i.to_bytes(4, "little"), f" {t}") for t, i in self.special.items()}
         self.longest = max(len(t.removesuffix(self.end)) for t in self.ids)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -116,6 +120,11 @@ class Vocabulary:
         """May ``token`` come right after ``before`` ("": the start) in an encoding?"""
         known = self.entries[token][1]
         if before not in known:
+            self.n_pairs += 1
+            if self.n_pairs > PAIRS:
+                self.n_pairs = 1
+                for _, pairs in self.entries.values():
+                    pairs.clear()
             known[before] = self.merged(self._symbols(before) + self._symbols(token)) == ([before, token] if before else [token])
         return known[before]
 
@@ -127,22 +136,22 @@ class Vocabulary:
         """
         out: dict[str, tuple[bytes, str]] = {}
         entry, follows, longest, end = self.entries.get, self.follows, self.longest, self.end
-        # Of the prefix at each depth of the path: its last token (None: not needed yet), packed ids and token strings.
+        # Of the prefix at each depth of the path: its last token (None: not needed yet), and the depth where that starts.
         last: list[str | None] = [""]
-        packed, named = [b""], [""]
+        back = [0]
         above = ""
 
-        def state(depth: int, suffix: str) -> tuple[str, bytes, str]:
-            """Last token, ids and names of the path's first letters, with ``suffix`` as its end."""
+        def state(depth: int, suffix: str) -> tuple[str, int]:
+            """Last token of the path's first letters, with ``suffix`` as its end, and where it starts."""
             for start in range(max(0, depth - longest), depth):
                 token = word[start:depth] + suffix
                 if (of := entry(token)) is not None:
                     if (before := last[start]) is None:
-                        before, packed[start], named[start] = state(start, "")
+                        before, back[start] = state(start, "")
                         last[start] = before
                     fits = of[1].get(before)
                     if fits or fits is None and follows(before, token):
-                        return token, packed[start] + of[0], f"{named[start]} {token}"
+                        return token, start
             raise ValueError(f"no token ends {word[:depth]!r}")
 
         for word, name in sorted((self.lettered(w), w) for w in words):
@@ -151,15 +160,18 @@ class Vocabulary:
                 if one != other:
                     break
                 shared += 1
-            fresh = n - shared
-            last[shared + 1 :] = [None] * fresh
-            if len(packed) <= n:
-                packed += [b""] * (n + 1 - len(packed))
-                named += [""] * (n + 1 - len(named))
+            last[shared + 1 :] = [None] * (n - shared)
+            back[shared + 1 :] = [0] * (n - shared)
             for depth in range(1, n) if n > 256 else ():  # so that a very long word's states don't wait for each other
                 if last[depth] is None:
-                    last[depth], packed[depth], named[depth] = state(depth, "")
-            out[name] = state(n, end)[1:]
+                    last[depth], back[depth] = state(depth, "")
+            token, at = state(n, end)
+            tokens = [token]
+            while at:
+                tokens.append(last[at])
+                at = back[at]
+            tokens.reverse()
+            out[name] = b"".join([entry(t)[0] for t in tokens]), " " + " ".join(tokens)
             above = word
         return out
 
