@@ -1,7 +1,11 @@
-"""A bounded sample of labelled texts for fitting a classifier."""
+"""A bounded sample of labelled texts, and the one task that fits a classifier on it."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +21,20 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, m
     order = [F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id"]
     chosen = known.where("target = 0").orderBy(*order).limit(most[0]).union(known.where("target = 1").orderBy(*order).limit(most[1]))
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of the distinct rows (doc_id, text, target) of a bounded sample, in the order of id and text.
+
+    The sample goes to one task, which Spark runs again if its executor is lost; the driver gets the model alone.
+    """
+    names = ["doc_id", "text", "target"]
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("target", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([b.cast(schema) for b in batches], schema).group_by(names).aggregate([])
+        model = fit(rows.select(names).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("target").cast("int").alias("target")).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(schema.empty_table())

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.samples import labelled
+from tessel.llm.samples import fitted, labelled
 from tessel.llm.shared import remainder, table
 from tessel.llm.text import _LOWER, Chunk, chunks, filtered
 
@@ -38,14 +38,12 @@ WINDOW = 4
 SIZES = (3, 4, 5)
 BITS = 19
 BUCKETS = 1 << BITS
-DIMENSIONS = 2
+DIMENSIONS = 4
 #: Most labelled documents, clean and toxic, that the model is fitted on; their texts are taken whole.
 SAMPLED = (1000, 1500)
-#: An n-gram seen in fewer words of documents of the sample has no vector: it could only be learned by heart.
-LEAST_DOCUMENTS = 10
 THRESHOLD = 0.7
-#: Step size, ridge and the softening of Adam's step, below which a slope counts as noise.
-RATE, DECAY, SOFT = 0.1, 1e-4, 1e-9
+#: Step size, ridge and the softening of Adam's step: n-grams of few documents have slopes below it, so they are learned more slowly.
+RATE, DECAY, SOFT = 0.1, 1e-5, 1e-7
 
 
 def ngrams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +113,7 @@ def _windows(text: str | None) -> list[str]:
 class _Bags:
     """Windows as bags of word numbers, words as bags of n-gram buckets."""
 
-    def __init__(self, texts: pa.Array, doc: np.ndarray):
+    def __init__(self, texts: pa.Array):
         self.n = len(texts)
         words, window = array("i"), array("i")
         known: dict[bytes, int] = {}
@@ -134,13 +132,6 @@ class _Bags:
         self.of, self.bucket = (np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (of, bucket))
         self.n_words = len(known)
         self.word_share = (1 / np.maximum(1, np.bincount(self.of, minlength=self.n_words))).astype(np.float32)[self.of]
-        # Distinct (document, word) pairs with each n-gram.
-        pairs = np.unique(doc[self.window].astype(np.int64) * max(1, self.n_words) + self.words) if len(self.words) else self.words
-        seen = np.zeros(BUCKETS, np.int64)
-        n_docs = np.bincount(pairs % max(1, self.n_words), minlength=self.n_words)
-        seen += np.bincount(self.bucket, n_docs[self.of], minlength=BUCKETS).astype(np.int64)
-        kept = seen[self.bucket] >= LEAST_DOCUMENTS
-        self.of, self.bucket, self.word_share = self.of[kept], self.bucket[kept], self.word_share[kept]
         self.used = np.flatnonzero(np.bincount(self.bucket, minlength=BUCKETS))
         place = np.zeros(BUCKETS, np.int32)
         place[self.used] = np.arange(len(self.used))
@@ -158,7 +149,7 @@ def fit(doc: np.ndarray, target: np.ndarray, texts: pa.Array, seed: int = 0, rou
     if not len(doc) or target.min() == target.max():
         return none
     names, which = np.unique(doc, return_inverse=True)
-    bags = _Bags(texts, which)
+    bags = _Bags(texts)
     rng = np.random.default_rng(seed)
     label = np.zeros(len(names))
     label[which] = target
@@ -233,19 +224,23 @@ def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return found[0] / spread, found[1] - found[0] * centre / spread
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", allowed: F.Column | None = None) -> Model:
-    """A model from at most SAMPLED labelled documents, fitted on the driver."""
-    sample = labelled(docs, labels, target, F.lit(True) if allowed is None else allowed, SAMPLED)
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "target").toArrow().group_by(["doc_id", "text", "target"]).aggregate([])
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    target, cut = rows.column("target").to_numpy(), [pa.array(_windows(text.as_py()), pa.string()) for text in rows.column("text")]
+def fit_rows(rows: pa.Table) -> Model:
+    """A model from rows (text, target)."""
+    cut = [pa.array(_windows(text.as_py()), pa.string()) for text in rows.column("text")]
     doc = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
-    return fit(doc, target[doc], pa.concat_arrays(cut) if cut else pa.array([], pa.string()))
+    model = fit(doc, rows.column("target").to_numpy()[doc], pa.concat_arrays(cut) if cut else pa.array([], pa.string()))
+    model.weights = model.weights.astype(np.float32)
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", allowed: F.Column | None = None) -> Model:
+    """A model from at most SAMPLED labelled documents, fitted in one task."""
+    return fitted(labelled(docs, labels, target, F.lit(True) if allowed is None else allowed, SAMPLED), fit_rows)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, score double) of each row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias, model.scale, model.shift))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +254,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below the threshold."""
-    sent = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias, model.scale, model.shift))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(filtered(docs.columns.index("text"), lambda chunk: sent.value.scores(chunk) < threshold), docs.schema)
 
 
