@@ -1,10 +1,16 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Every line is good or bad.  Its potentials are linear in features of the line and of
-its two neighbours; a 2 x 2 table scores neighbouring labels.  The field is trained in
-numpy by its exact likelihood (forward-backward) on a bounded sample of labelled
-documents, each line carrying its document's label.  A document's quality is the mean
-of its lines' marginal probabilities of good, weighted by line length.
+its two neighbours; a 2 x 2 table scores neighbouring labels.  A document's quality is
+the mean of its lines' marginal probabilities of good, weighted by line length.
+
+Labels say good or bad of documents, not of lines: a bad document has good lines too.
+So the field is trained in numpy, on a bounded sample of labelled documents, in two
+parts: first by its exact likelihood, each line carrying its document's label, then by
+the likelihood of the documents' labels under the weighted means of the marginals, the
+lines' labels being hidden.  There the table learns how labels of neighbours go
+together.  The slopes of marginals are covariances, which two further runs of
+forward-backward give.
 
 Whole texts are scored in batches: the recursions run over line numbers, for all
 documents of a chunk at once.
@@ -24,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.samples import labelled
+from tessel.llm.samples import fitted, labelled
 from tessel.llm.shared import remainder, table
 from tessel.llm.text import Chunk, chunks, filtered, windows
 
 THRESHOLD = 0.3
-#: Most labelled documents of each class that the field is fitted on.
+#: Most labelled documents of each class that the field is fitted on; their texts are taken whole.
 PER_CLASS = 1500
-STEPS = 120
+#: Training steps on the lines, then on the documents.
+STEPS = (80, 60)
 
 _CLASSES = {
     "upper": np.arange(65, 91),
@@ -126,11 +133,24 @@ class Field:
     def scores(self, chunk: Chunk) -> np.ndarray:
         features, doc, lengths = line_features(chunk)
         good, _ = marginals(features @ self.weights, doc, self.table)
-        weight = np.maximum(lengths, 1e-3) if len(lengths) else lengths
-        return np.clip(np.bincount(doc, good * weight, minlength=chunk.n) / np.bincount(doc, weight, minlength=chunk.n), 0, 1)
+        return np.clip(np.bincount(doc, good * _shares(lengths, doc), minlength=chunk.n), 0, 1)
+
+
+def _shares(lengths: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Each line's share in its document's score."""
+    weight = np.maximum(lengths, 1e-3)
+    return weight / np.bincount(doc, weight)[doc] if len(doc) else weight
+
+
+def document_slopes(logit: np.ndarray, doc: np.ndarray, table: np.ndarray, pull: np.ndarray, small: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of sum(pull * marginals) by the logits and by the table, from marginals of logits moved along ``pull``."""
+    size = max(1e-300, np.abs(pull).max(initial=0))
+    (up, pairs_up), (down, pairs_down) = (marginals(logit + sign * small / size * pull, doc, table) for sign in (1, -1))
+    scale = size / (2 * small)
+    return (up - down) * scale, (pairs_up.sum(0) - pairs_down.sum(0)) * scale
 
 
-def fit(texts: pa.Array, target: np.ndarray, steps: int = STEPS, ridge: float = 1e-4) -> Field:
+def fit(texts: pa.Array, target: np.ndarray, steps: tuple[int, int] = STEPS, ridge: float = 1e-4) -> Field:
     """Trains the field on whole texts and their labels, both labels weighing the same."""
     width = 3 * N_OWN + 1
     if not len(target) or target.min() == target.max():
@@ -138,32 +158,39 @@ def fit(texts: pa.Array, target: np.ndarray, steps: int = STEPS, ridge: float =
     parts = [(c.first, *line_features(c)) for c in chunks(texts)]
     features = np.concatenate([p[1] for p in parts])
     doc = np.concatenate([p[0] + p[2] for p in parts])
+    share = _shares(np.concatenate([p[3] for p in parts]), doc)
     y = target[doc].astype(float)
     counts = np.bincount(doc)
-    weight = 1.0 / counts[doc]  # a document weighs one, however many lines it has
-    for k in (0, 1):
-        weight[y == k] /= weight[y == k].sum()
+    balance = np.array([0.5 / max(1, (target == k).sum()) for k in (0, 1)])[target]  # of each document
+    weight = balance[doc] / counts[doc]  # a document weighs one, however many lines it has
     inner = np.r_[False, doc[1:] == doc[:-1]]
     seen = np.zeros((len(y), 2, 2))
     rows = np.flatnonzero(inner)
     seen[rows, y[rows].astype(int), y[rows].astype(int)] = 1
     found = [np.zeros(width), np.zeros((2, 2))]
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in found]
-    for step in range(1, steps + 1):
-        good, pairs = marginals(features @ found[0], doc, found[1])
-        slopes = [features.T @ (weight * (good - y)) + ridge * found[0], ((pairs - seen) * weight[:, None, None]).sum(0) + 1e-2 * found[1]]
+    for step in range(1, sum(steps) + 1):
+        logit = features @ found[0]
+        good, pairs = marginals(logit, doc, found[1])
+        if step <= steps[0]:
+            by_logit, by_table = weight * (good - y), ((pairs - seen) * weight[:, None, None]).sum(0)
+        else:
+            score = np.clip(np.bincount(doc, good * share), 1e-3, 1 - 1e-3)
+            pull = (balance * (score - target) / (score * (1 - score)))[doc] * share
+            by_logit, by_table = document_slopes(logit, doc, found[1], pull)
+        slopes = [features.T @ by_logit + ridge * found[0], by_table + 1e-2 * found[1]]
+        rate = 0.1 if step <= steps[0] else 0.03
         for x, slope, moment in zip(found, slopes, moments):
             moment[0] = 0.9 * moment[0] + 0.1 * slope
             moment[1] = 0.99 * moment[1] + 0.01 * slope**2
-            x -= 0.1 * moment[0] / (1 - 0.9**step) / (np.sqrt(moment[1] / (1 - 0.99**step)) + 1e-8)
+            x -= rate * moment[0] / (1 - 0.9**step) / (np.sqrt(moment[1] / (1 - 0.99**step)) + 1e-8)
     return Field(*found)
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", allowed: F.Column | None = None, most_chars: int = 20_000) -> Field:
-    """A field from at most PER_CLASS labelled documents of each class (longer ones than ``most_chars`` aren't sampled), fitted on the driver."""
-    sample = labelled(docs, labels, target, F.lit(True) if allowed is None else allowed, (PER_CLASS, PER_CLASS)).where(F.length("text") <= most_chars)
-    rows = sample.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(rows.column("text").combine_chunks(), rows.column("target").to_numpy())
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", allowed: F.Column | None = None) -> Field:
+    """A field from at most PER_CLASS labelled documents of each class, fitted in one task."""
+    sample = labelled(docs, labels, target, F.lit(True) if allowed is None else allowed, (PER_CLASS, PER_CLASS))
+    return fitted(sample, lambda rows: fit(rows.column("text").combine_chunks(), rows.column("target").to_numpy()))
 
 
 def score(docs: DataFrame, field: Field, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -44,6 +44,33 @@ def test_trie_walk_is_plain_merging():
         assert found[word][1].split() == vocabulary.merged(symbols)
 
 
+def test_very_long_words_take_linear_memory():
+    import json
+    import tracemalloc
+
+    vocabulary = bpe.Vocabulary(json.load(open(bpe.default_tokenizer())))
+    word = "".join(np.random.default_rng(0).choice(list("abcdefgh"), 1_000_000))
+    tracemalloc.start()
+    found = vocabulary.encode([word, word[:5000]])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400e6
+    assert found[word][1].replace(" ", "").removesuffix(vocabulary.end) == word
+    symbols = [*word[:2000]]
+    symbols[-1] += vocabulary.end
+    assert vocabulary.encode([word[:2000]])[word[:2000]][1].split() == vocabulary.merged(symbols)
+
+
+def test_few_remembered_pairs(monkeypatch):
+    import json
+
+    vocabulary = bpe.Vocabulary(json.load(open(bpe.default_tokenizer())))
+    some = ["unbelievable", "unbelief", "tionthing", "aaaaaaaaab", "xyzzyplugh"]
+    whole = vocabulary.encode(some)
+    monkeypatch.setattr(bpe, "PAIRS", 3)
+    assert bpe.Vocabulary(json.load(open(bpe.default_tokenizer()))).encode(some) == whole
+
+
 def test_op7(spark, sf_dir):
     library = tokenizer()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

@@ -92,6 +92,34 @@ def test_field_marginals_by_enumeration():
     assert np.allclose(found[:5], good / total)
 
 
+def test_slopes_of_documents_by_difference():
+    rng = np.random.default_rng(2)
+    doc = np.array([0, 0, 0, 1, 1, 2])
+    logit, table, pull = rng.normal(size=6), rng.normal(size=(2, 2)), rng.normal(size=6)
+    by_logit, by_table = quality.document_slopes(logit, doc, table, pull)
+    value = lambda z, t: (pull * quality.marginals(z, doc, t)[0]).sum()
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-5
+        assert abs((value(logit + step, table) - value(logit - step, table)) / 2e-5 - by_logit[k]) < 1e-4
+    for k in range(4):
+        step = np.eye(4)[k].reshape(2, 2) * 1e-5
+        assert abs((value(logit, table + step) - value(logit, table - step)) / 2e-5 - by_table.ravel()[k]) < 1e-4
+
+
+def test_quality_finds_the_bad_lines():
+    # Bad documents are good prose with a few junk lines; only documents are labelled.
+    rng = np.random.default_rng(3)
+    prose = lambda: " ".join(rng.choice(["the", "river", "was", "calm", "over", "green", "hills"], 9)).capitalize() + "."
+    junk = lambda: "".join(rng.choice(list("#*$%&|<>0123456789"), 40))
+    texts = ["\n".join(junk() if k % 2 and 3 <= i % 8 <= 6 else prose() for i in range(24)) for k in range(120)]
+    field = quality.fit(pa.array(texts), np.array([1 - k % 2 for k in range(120)]))
+    features, doc, _ = quality.line_features(next(text.chunks(pa.array(texts[:2]))))
+    good = quality.marginals(features @ field.weights, doc, field.table)[0]
+    bad = np.r_[np.zeros(24, bool), [3 <= i % 8 <= 6 for i in range(24)]]
+    assert good[bad].max() < 0.5 < good[~bad].mean()
+    assert field.table[0, 0] + field.table[1, 1] > field.table[0, 1] + field.table[1, 0]
+
+
 def test_pipeline(spark):
     name = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{name}/documents.parquet")
@@ -106,5 +134,20 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in kept.collect()} == wanted and kept.columns == docs.columns
     packed = corpus_pipeline.packed(spark, some, name)
     assert packed.select("doc_id").distinct().count() == some.count()
+    kept = corpus_pipeline.unique(spark, docs.limit(0), name)
+    assert kept.count() == 0 and kept.columns == docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "packing"]
     assert neardup.VALUES == neardup.CHUNKS * neardup.CHUNK and packing.BLOCK > 0
+
+
+def test_duplicates_of_odd_rows(spark, odd_docs, odd_rows):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(4, text), (5, text), (None, text), (None, text), (5, other), (None, ""), (None, ""), (None, None), (7, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")
+    kept = sorted(str((r["doc_id"], r["text"])) for r in corpus_pipeline.unique(spark, docs, "").collect())
+    assert kept == sorted(map(str, [(4, text), (5, other), (None, ""), (None, ""), (None, None), (7, "")]))
+    kept = corpus_pipeline.unique(spark, odd_docs, "")
+    texts = [r["text"] for r in kept.collect()]
+    same = [t for t in texts if t and t.lower().split() == "the cat sat on the mat".split()]
+    assert kept.columns == odd_docs.columns and len(same) == 1
+    assert sum(not (t or "").split() for t in texts) == sum(not (r[1] or "").split() for r in odd_rows)
