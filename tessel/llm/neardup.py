@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(2)):
+            for chunk in chunks(batch.column(2), 1 << 20):
                 doc, shingles = shingle_sets(chunk)
                 sizes, names = _set_names(doc, shingles, chunk.n)
                 filled = np.flatnonzero(sizes)
@@ -137,7 +137,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), 1 << 20):
                 nodes = batch.column(0).slice(chunk.first, chunk.n)
                 doc, shingles = shingle_sets(chunk)
                 sizes, names = _set_names(doc, shingles, chunk.n)
