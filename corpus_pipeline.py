@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
 Null and empty texts are scored as texts without words and, where kept, pack to their end
-id alone; rows without id are documents of their own; repeated rows leave one.  Other
-columns pass the first three stages unchanged.
+id alone; rows without id are documents of their own; of repeated rows with words one
+stays.  Other columns pass the first three stages unchanged.
 """
 
 from __future__ import annotations
@@ -32,9 +32,17 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id; of equal rows, one."""
-    found = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One row of each group of near duplicates: that of the smallest id (null ids last; then by the text's hash, then any).
+
+    Rows are told apart by a number of their own, whatever their ids.  Rows without words are no one's duplicates and stay.
+    """
+    name = "row"
+    while name in docs.columns:
+        name = f"_{name}"
+    numbered = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col(name).alias("row"))
+    found = neardup.near_duplicates(numbered.select(key.alias("key"), "text"), "key").where("kept").select(F.col("key.row").alias(name))
+    return numbered.join(found, name, "left_semi").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
