@@ -8,7 +8,8 @@ packings.  An island's generation injects whole well-filled bins of one parent i
 another, empties the other's bins that held the same pieces, and puts the displaced
 pieces back by best fit.  Between epochs each island's elite moves to the next
 island of the block (a shuffle of bounded rows), and the block's best packing wins.
-Pieces of poorly filled bins of all blocks then make fewer new blocks and are packed
+The emptiest of a block's poorly filled bins, with at most ``AGAIN`` of its pieces, are
+emptied; their pieces make fewer new blocks with those of other blocks and are packed
 again, until one block is left, so blocks cost no sequences of their own.
 
 A block that reaches ceil(tokens / capacity) bins is optimal and stops evolving.
@@ -19,6 +20,8 @@ repeated rows and null ids are pieces of their own; an empty table packs to an e
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,41 +33,48 @@ from tessel.llm.bpe import Encoder, read_spec
 from tessel.llm.shared import table, written
 
 BLOCK = 4096
-ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 6
-POPULATION = 4
-#: Bins filled below this share of the capacity are packed again with those of other blocks.
-WELL_FILLED = 0.97
+ISLANDS = 3
+EPOCHS = 3
+GENERATIONS = 12
+POPULATION = 6
+#: Bins filled below this share of the capacity are packed again with those of other blocks, up to this share of a block's pieces.
+WELL_FILLED, AGAIN = 0.97, 0.25
+_TOGETHER = 4096  # stretches in one call of the library
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch  # a word of lower-case letters
 
 
 class LibraryEncoder(Encoder):
-    """Words encoded by the tokenizers library, each distinct one once while remembered."""
+    """Stretches of text encoded by the tokenizers library, each distinct one once while remembered."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         super().__init__(spec)
-        self.library = Tokenizer.from_str(spec)
+        # Stretches that are one word of plain letters go to the same model without the steps before it, which don't change them.
+        bare = json.loads(spec) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "truncation": None, "padding": None}
+        self.library, self.bare = Tokenizer.from_str(spec), Tokenizer.from_str(json.dumps(bare))
         self.library.no_truncation()
         self.library.no_padding()
-
-    def coded(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
-        """Many words make one text for the library; its word numbers say which ids are whose."""
-        listed, found = list(words), {}
-        for at in range(0, len(listed), 512):
-            part = listed[at : at + 512]
-            one = self.library.encode(" ".join(part), add_special_tokens=False)
-            numbers, ids = np.array(one.word_ids, np.int64), np.array(one.ids, "<u4")
-            starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
-            if len(starts) == len(part):
-                packed = ids.tobytes()
-                for word, start, end in zip(part, starts.tolist(), [*starts[1:].tolist(), len(ids)]):
-                    found[word] = packed[4 * start : 4 * end], ""
-            else:  # a word that isn't one word of its own beside others
-                for word in part:
-                    found[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), ""
-        return found
+        self.letters = {ord(byte): letter for byte, letter in self.vocabulary.bytes.items() if byte != " "}
+
+    def learn(self, runs: set[bytes]) -> None:
+        """Many stretches are one text for the library; its word numbers say which ids are whose."""
+        listed = list(runs)
+        plain = list(map(_PLAIN, b" ".join(listed).decode("utf-8").split(" ")))
+        words, other = [run for run, m in zip(listed, plain) if m], [run for run, m in zip(listed, plain) if not m]
+        for at in range(0, len(words), _TOGETHER):
+            part = words[at : at + _TOGETHER]
+            self._keep(part, self.bare.encode(b" ".join(part).decode("latin-1").translate(self.letters), add_special_tokens=False))
+        for at in range(0, len(other), _TOGETHER):
+            part = other[at : at + _TOGETHER]
+            self._keep(part, self.library.encode([run.decode("utf-8") for run in part], is_pretokenized=True, add_special_tokens=False))
+
+    def _keep(self, part: list[bytes], coded: object) -> None:
+        ends = 4 * np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)))
+        packed, start = np.array(coded.ids, "<u4").tobytes(), 0
+        for run, end in zip(part, ends.tolist()):
+            self.runs[run] = packed[start:end], ""
+            start = end
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -213,7 +223,10 @@ _ISLANDS_SQL = "block long, island int, sizes binary, population array<binary>,
 
 
 def _packed_blocks(placed: DataFrame, capacity: int) -> DataFrame:
-    """(block, slot, bin, offset, filled) of pieces that have (block, slot, length); a block's rows are bounded by its dealing."""
+    """(block, slot, bin, offset, again) of pieces that have (block, slot, length); a block's rows are bounded by its dealing.
+
+    ``again`` marks the pieces of the bins that should be packed with those of other blocks.
+    """
 
     def gather(key: tuple, rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("slot").to_numpy())
@@ -239,12 +252,15 @@ def _packed_blocks(placed: DataFrame, capacity: int) -> DataFrame:
                 first[1:] = of[order][1:] != of[order][:-1]
                 offset = np.empty(len(order), np.int64)
                 offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-                filled = np.bincount(of, sizes).astype(np.int64)[of]
+                filled, held = np.bincount(of, sizes), np.bincount(of)
+                emptiest = np.argsort(filled, kind="stable")
+                again = np.zeros(len(filled), bool)
+                again[emptiest] = (filled[emptiest] < WELL_FILLED * capacity) & (np.cumsum(held[emptiest]) <= max(1, int(AGAIN * len(of))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(of), row["block"])), pa.array(np.arange(len(of)), pa.int32()), pa.array(of), pa.array(offset), pa.array(filled)], names=["block", "slot", "bin", "offset", "filled"]
+                    [pa.array(np.full(len(of), row["block"])), pa.array(np.arange(len(of)), pa.int32()), pa.array(of), pa.array(offset), pa.array(again[of])], names=["block", "slot", "bin", "offset", "again"]
                 )
 
-    return best.select("block", "best.sizes", "best.of").mapInArrow(spread, "block long, slot int, bin long, offset long, filled long")
+    return best.select("block", "best.sizes", "best.of").mapInArrow(spread, "block long, slot int, bin long, offset long, again boolean")
 
 
 def _dealt(rest: DataFrame, first_block: int, block: int) -> tuple[DataFrame, int]:
@@ -269,12 +285,8 @@ def pack(cut: DataFrame, capacity: int = 2048, block: int = BLOCK) -> DataFrame:
         if n == 1:
             return done.unionByName(settled)
         placed = written(placed, "placed")
-        well = F.col("filled") >= F.lit(int(WELL_FILLED * capacity))
-        settled = placed.where(well).select(*columns, (F.col("block") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset")
-        done = done.unionByName(settled)
-        left = placed.where(~well).select(*rest.columns)
-        if left.count() >= 0.9 * placed.count():  # long pieces that no other fits beside: packing them again gains nothing
-            return done.unionByName(placed.where(~well).select(*columns, (F.col("block") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset"))
+        settled = placed.where("not again").select(*columns, (F.col("block") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset")
+        done, left = done.unionByName(settled), placed.where("again").select(*rest.columns)
         rest, first = left, first + n
 
 
