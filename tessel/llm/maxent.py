@@ -37,7 +37,7 @@ from tessel.llm.text import Chunk, chunks, mix64
 
 CLASSES, PER_CLASS = 32, 64
 HEADS = CLASSES * PER_CLASS
-FEATURES = 1 << 13
+FEATURES = 1 << 15
 BROADCAST = 1 << 20
 BATCH, RATE, FAN_IN = 8192, 0.5, 128
 END = np.uint64(0x5EED0E2D5EED0E2D)
@@ -141,12 +141,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _add(table: np.ndarray, sizes: np.ndarray, seen: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
-    """One step on some rows: slopes are summed per row, and rows that moved much move more slowly."""
-    order = np.argsort(rows, kind="stable")
-    starts = np.flatnonzero(np.r_[True, rows[order][1:] != rows[order][:-1]])
-    total = np.add.reduceat(slope[order], starts, axis=0)
-    own = rows[order][starts]
-    seen[own] += np.diff(np.r_[starts, len(rows)])
+    """One step on some rows (kinds of features by tokens): slopes are summed per row, and rows that moved much move more slowly."""
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    total = np.add.reduceat(slope[order % len(slope)], starts, axis=0)
+    own = ordered[starts]
+    seen[own] += np.diff(np.r_[starts, len(flat)])
     sizes[own] += (total**2).mean(1)
     table[own] -= (RATE / np.sqrt(sizes[own] + 1.0))[:, None] * total
 
@@ -165,13 +167,21 @@ class Learner:
             rows, y = history.classes[:, at : at + BATCH], history.target[at : at + BATCH]
             p = _softmax(m.classes[rows].sum(0) + m.classes[-1])
             p[np.arange(len(y)), y] -= 1
-            _add(m.classes, self.sizes[0], self.seen[0], np.concatenate([rows.ravel(), np.full(len(y), FEATURES)]), np.concatenate([p, p, p, p]))
+            _add(m.classes, self.sizes[0], self.seen[0], rows, p)
+            self.bias(p)
         for at in range(0, len(history.word), BATCH):
             rows, y = history.words[:, at : at + BATCH], history.word[at : at + BATCH]
             own = history.target[history.inner[at : at + BATCH]]
             p = _softmax(m.words[rows].sum(0) + m.word_bias[own])
             p[np.arange(len(y)), y] -= 1
-            _add(m.words, self.sizes[1], self.seen[1], rows.ravel(), np.concatenate([p, p]))
+            _add(m.words, self.sizes[1], self.seen[1], rows, p)
+
+    def bias(self, slope: np.ndarray) -> None:
+        """A step on the last row of the classes' table, which every token has."""
+        total = slope.sum(0)
+        self.seen[0][-1] += len(slope)
+        self.sizes[0][-1] += (total**2).mean()
+        self.model.classes[-1] -= RATE / np.sqrt(self.sizes[0][-1] + 1.0) * total
 
 
 def log10(model: Model, history: History) -> np.ndarray:
