@@ -1,14 +1,20 @@
 """Chat formatting into budgeted windows, in DataFrame functions only.
 
-A turn becomes ``<|turn|>role\\ntext<|end|>\\n``.  A turn counts as one token for every four
-characters of its text, rounded up, and ``OVERHEAD`` for its marks.  Prefix sums of these
-choose spans of whole turns: a turn belongs to the span in which it starts, and spans are
-as long as the budget leaves beside the system turn, the repeated history and one more of
-the conversation's longest turns, so a window keeps within the budget.  (Where that
-leaves nothing a span still takes a turn; such windows are marked ``over_budget``.)  A
-window after the first repeats the system turn, if the conversation starts with one, and
-the last ``HISTORY_TURNS`` turns as far as they fit ``HISTORY`` tokens.  The loss mask covers
-each assistant text once: repeated turns are outside.
+A turn becomes ``<|turn|>role\\ntext<|end|>\\n``.  A turn's size is an estimate of its tokens,
+as no tokenizer is a DataFrame function: one for every four characters of its text, rounded
+up, and ``OVERHEAD`` for its marks.
+
+Prefix sums of the sizes choose spans of whole turns.  A question and the answers that
+follow it are one part, where a window has room for them; otherwise each of their turns is.
+A part of more than a quarter of the room is a span of its own, and the others between two
+such are cut by prefix sums: a part belongs to the span in which it starts, spans being as
+long as the room less the longest of these parts.  So a window keeps within the budget, and
+a long turn doesn't shorten the windows of other turns.  (A turn that is longer than the
+room has a window marked ``over_budget``.)  A window after the first repeats the system turn,
+if the conversation starts with one, and the last ``HISTORY_TURNS`` turns as far as they fit
+``HISTORY`` tokens; where it opens with an answer, the turn before is also repeated if it fits
+what the window leaves of the budget.  The loss mask covers each assistant text once:
+repeated turns are outside.
 
 Control strings inside texts and roles are escaped reversibly: a backslash becomes
 ``\\0``, the first letter of ``<|``, ``<s>``, ``</s>`` ``\\1``, that of ``[INST]``, ``[/INST]`` ``\\2``,
@@ -66,11 +72,21 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     )
     by = Window.partitionBy("conv_id").orderBy("pos")
     system = (F.col("pos") == 1) & (F.col("role") == "system")
-    rows = rows.withColumn("start", F.sum("tokens").over(by) - F.col("tokens"))
     rows = rows.withColumn("system_tokens", F.max(F.when(system, F.col("tokens")).otherwise(0)).over(whole))
-    rows = rows.withColumn("stride", F.greatest(F.lit(1), F.lit(budget - history) - F.col("system_tokens") - F.max("tokens").over(whole)))
-    rows = rows.withColumn("span", F.floor(F.col("start") / F.col("stride")))
-    rows = rows.withColumn("opens", F.coalesce(F.lag("span").over(by) != F.col("span"), F.lit(False)))
+    each = lambda *names: Window.partitionBy("conv_id", *names)
+    number = lambda flag: F.sum(F.when(flag, 1).otherwise(0)).over(by)
+    rows = rows.withColumn("room", F.lit(budget - history) - F.col("system_tokens"))
+    rows = rows.withColumn("asks", (F.col("pos") == 1) | (F.col("role") != "assistant")).withColumn("unit", number(F.col("asks")))
+    rows = rows.withColumn("first", F.col("asks") | (F.sum("tokens").over(each("unit")) > F.col("room"))).withColumn("part", number(F.col("first")))
+    rows = rows.withColumn("part_tokens", F.sum("tokens").over(each("part")))
+    rows = rows.withColumn("big", F.col("part_tokens") > F.greatest(F.lit(1), F.floor(F.col("room") / 4)))
+    rows = rows.withColumn("stride", F.greatest(F.lit(1), F.col("room") - F.max(F.when(F.col("big"), 0).otherwise(F.col("part_tokens"))).over(whole)))
+    rows = rows.withColumn("stretch", 2 * number(F.col("big") & F.col("first")) - F.col("big").cast("int"))
+    rows = rows.withColumn("start", F.sum("tokens").over(each("stretch").orderBy("pos")) - F.col("tokens"))
+    rows = rows.withColumn("cut", F.floor(F.min("start").over(each("part")) / F.col("stride")))
+    rows = rows.withColumn("opens", F.coalesce((F.lag("stretch").over(by) != F.col("stretch")) | (F.lag("cut").over(by) != F.col("cut")), F.lit(False)))
+    rows = rows.withColumn("span", number(F.col("opens")))
+    rows = rows.withColumn("left", F.lit(budget) - F.col("system_tokens") - F.sum("tokens").over(each("span")))
 
     # What a later window repeats, on the row of its first turn.
     rows = rows.withColumn("system", F.first(F.when(system, F.col("piece"))).over(by))
@@ -79,7 +95,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
         lag = lambda name, back=back: F.lag(name, back).over(by)
         used = used + lag("tokens")
         isn_system = ~((F.col("pos") == back + 1) & F.col("system").isNotNull())
-        fits = F.col("opens") & (F.col("pos") > back) & (used <= history) & isn_system
+        limit = F.when(F.col("role") == "assistant", F.greatest(F.lit(history), F.col("left"))).otherwise(history) if back == 1 else F.lit(history)
+        fits = F.col("opens") & (F.col("pos") > back) & (used <= limit) & isn_system
         kept.append(F.when(fits, lag("piece")))
     repeated = F.when(F.col("opens"), F.array_compact(F.array(F.col("system"), *reversed(kept))))
     rows = rows.withColumn("repeated", repeated)
@@ -146,16 +163,21 @@ WITH t AS (
     {len(TURN) + len(END) + 2} + length(replace({_sql_escaped("role")}, chr(10), '\\3')) + length({_sql_escaped("text")}) AS chars
   FROM t
 ), b AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS start,
+  SELECT *, {BUDGET - HISTORY} - st AS room, (pos = 1 OR role <> 'assistant') AS asks FROM (SELECT *,
     max(CASE WHEN pos = 1 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS st,
-    max(CASE WHEN pos = 1 AND role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS sc,
-    max(tokens) OVER (PARTITION BY conv_id) AS longest
-  FROM a
+    max(CASE WHEN pos = 1 AND role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS sc FROM a)
+), b1 AS (SELECT *, sum(asks::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS unit FROM b
+), b2 AS (SELECT *, asks OR sum(tokens) OVER (PARTITION BY conv_id, unit) > room AS first FROM b1
+), b3 AS (SELECT *, sum(first::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS part FROM b2
+), b4 AS (SELECT *, pt > greatest(1, floor(room / 4)) AS big FROM (SELECT *, sum(tokens) OVER (PARTITION BY conv_id, part) AS pt FROM b3)
+), b5 AS (SELECT *, greatest(1, room - max(CASE WHEN big THEN 0 ELSE pt END) OVER (PARTITION BY conv_id)) AS stride, 2 * sum((big AND first)::INT) OVER (PARTITION BY conv_id ORDER BY pos) - big::INT AS stretch FROM b4
+), b6 AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id, stretch ORDER BY pos) - tokens AS start FROM b5
+), b7 AS (SELECT *, min(start) OVER (PARTITION BY conv_id, part) // stride AS cut FROM b6
+), b8 AS (SELECT *, coalesce(lag(stretch) OVER w <> stretch OR lag(cut) OVER w <> cut, false) AS opens FROM b7 WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
 ), c AS (
-  SELECT *, start // greatest(1, {BUDGET - HISTORY} - st - longest) AS span FROM b
+  SELECT *, {BUDGET} - st - sum(tokens) OVER (PARTITION BY conv_id, span) AS unused FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS span FROM b8)
 ), d AS (
-  SELECT *, coalesce(lag(span) OVER w <> span, false) AS opens,
-    lag(tokens, 1) OVER w AS t1, lag(tokens, 2) OVER w AS t2, lag(chars, 1) OVER w AS c1, lag(chars, 2) OVER w AS c2
+  SELECT *, lag(tokens, 1) OVER w AS t1, lag(tokens, 2) OVER w AS t2, lag(chars, 1) OVER w AS c1, lag(chars, 2) OVER w AS c2
   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
@@ -163,7 +185,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars + CASE WHEN opens THEN sc
-    + CASE WHEN pos > 1 AND t1 <= {HISTORY} AND NOT (pos = 2 AND st > 0) THEN c1 ELSE 0 END
+    + CASE WHEN pos > 1 AND t1 <= CASE WHEN role = 'assistant' THEN greatest({HISTORY}, unused) ELSE {HISTORY} END AND NOT (pos = 2 AND st > 0) THEN c1 ELSE 0 END
     + CASE WHEN pos > 2 AND t1 + t2 <= {HISTORY} AND NOT (pos = 3 AND st > 0) THEN c2 ELSE 0 END
     ELSE 0 END)::BIGINT AS formatted_chars
 FROM d GROUP BY conv_id
