@@ -4,7 +4,8 @@ Records are rows (record_id, type, refers_to, target_uri, date, content_type, he
 array<struct<name, value>>, block binary, block_digest, payload_digest).  A derivative
 names its source in WARC-Refers-To, and repeats the source's target URI, date and payload
 digest, so each pair can be traced and checked without the source at hand.  Record ids
-are UUIDs made from what they name, so a task that runs again makes the same ones.
+are UUIDs made from what they name and the row's number in its table, so each record has
+its own, and a task that runs again makes the same ones.
 
 A metadata block has ``application/warc-fields``: the source's HTTP status and headers, its
 digests and length, title, language, description and links, resolved against the target
@@ -14,13 +15,15 @@ go, block elements break lines, entities are decoded, white space is collapsed.
 One pass over the rows, no shuffle; a row's work is its own page's.
 
 Edge cases: a null page is an empty payload; a null URL leaves the URI out; rows are kept
-one for one, repeated ones and null ids included (repeated pages have equal record ids).
+one for one, repeated ones and null ids included.  Work is linear in a page's length,
+whatever is left unclosed in it.
 Other columns are left out.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import html
 import re
@@ -42,10 +45,11 @@ _FIELDS = [
 ]
 RECORD = "record_id string, type string, refers_to string, target_uri string, date string, content_type string, headers array<struct<name: string, value: string>>, block binary, block_digest string, payload_digest string"
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
+_OPENS = re.compile(r"<!--|<!\[CDATA\[|<(script|style|noscript|template)\b", re.I)
+_CLOSES = re.compile(r"</(script|style|noscript|template)\s*>", re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|main|aside|title|head|body|html|blockquote|pre|hr|form|figure)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
+_TITLE_ENDS = re.compile(r"</title", re.I)
 _LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _LANGUAGE = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
 _SPACES = re.compile(r"[^\S\n]+")
@@ -59,23 +63,69 @@ def _id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
+def shown(page: str) -> str:
+    """A page without comments, CDATA and elements that aren't displayed; unclosed ones stay.  Every stretch is searched once."""
+    closes: dict[str, list[tuple[int, int]]] = {}
+    for m in _CLOSES.finditer(page):
+        closes.setdefault(m[1].lower(), []).append(m.span())
+    ends: dict[str, int] = {}  # where the next end of each kind is, as far as looked
+
+    def after(mark: str, at: int) -> int:
+        if mark not in ends or 0 <= ends[mark] < at:
+            ends[mark] = page.find(mark, at)
+        return ends[mark]
+
+    out, at = [], 0
+    for m in _OPENS.finditer(page):
+        if m.start() < at:
+            continue
+        if m[1] is None:
+            mark = "-->" if m[0] == "<!--" else "]]>"
+            found = after(mark, m.end())
+            end = found + 3 if found >= 0 else -1
+        else:
+            begins, own = after(">", m.end()), closes.get(m[1].lower(), [])
+            k = bisect.bisect_left(own, (begins + 1, 0)) if begins >= 0 else len(own)
+            end = own[k][1] if k < len(own) else -1
+        if end >= 0:
+            out += (page[at : m.start()], " ")
+            at = end
+    return "".join([*out, page[at:]])
+
+
+def _without(tag: re.Pattern, page: str, instead: str) -> str:
+    """Tags replaced; what follows the last > holds none."""
+    last = page.rfind(">") + 1
+    return tag.sub(instead, page[:last]) + page[last:]
+
+
+def _title(visible: str) -> str | None:
+    """The text between the first title tag and the next end of one."""
+    last = max((m.start() for m in _TITLE_ENDS.finditer(visible)), default=-1)
+    for m in _TAG.finditer(visible[: visible.rfind(">", 0, max(0, last)) + 1]):
+        if re.match(r"<title\b", m[0], re.I):
+            end = _TITLE_ENDS.search(visible, m.end())
+            return visible[m.end() : end.start()] if end else None
+    return None
+
+
 def plain_text(page: str) -> str:
     """A page's visible text: one line for each block that has any."""
-    shown = html.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page))))
-    return "\n".join(line for raw in shown.split("\n") if (line := _SPACES.sub(" ", raw).strip()))
+    text = html.unescape(_without(_TAG, _without(_BREAK, shown(page), "\n"), ""))
+    return "\n".join(line for raw in text.split("\n") if (line := _SPACES.sub(" ", raw).strip()))
 
 
 def _clean(text: str) -> str:
-    return " ".join(html.unescape(_TAG.sub("", text)).split())
+    return " ".join(html.unescape(_without(_TAG, text, "")).split())
 
 
-def response(url: str | None, page: str | None) -> dict:
-    """A response record with its HTTP head and payload."""
+def response(url: str | None, page: str | None, row: int = 0) -> dict:
+    """A response record with its HTTP head and payload; ``row`` tells repeated pages apart."""
     payload = (page or "").encode("utf-8")
     head = [("Content-Type", "text/html; charset=UTF-8"), ("Content-Length", str(len(payload)))]
     block = b"HTTP/1.1 200 OK\r\n" + "".join(f"{n}: {v}\r\n" for n, v in head).encode() + b"\r\n" + payload
     found = digest(payload)
-    return {"record_id": _id("response", url or "", found), "type": "response", "refers_to": None, "target_uri": url, "date": DATE, "content_type": "application/http; msgtype=response", "headers": [], "block": block, "block_digest": digest(block), "payload_digest": found}
+    return {"record_id": _id("response", url or "", found, str(row)), "type": "response", "refers_to": None, "target_uri": url, "date": DATE, "content_type": "application/http; msgtype=response", "headers": [], "block": block, "block_digest": digest(block), "payload_digest": found}
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -92,12 +142,13 @@ def derived(record: dict) -> list[dict]:
     status, headers, payload = split_http(record["block"] or b"")
     page, source = payload.decode("utf-8", "replace"), record["record_id"]
     fields = [("http-status", status), *((f"http-header-{n.lower()}", v) for n, v in headers), ("source-block-digest", record["block_digest"] or ""), ("source-payload-digest", record["payload_digest"] or ""), ("payload-length", str(len(payload)))]
-    visible = _HIDDEN.sub(" ", page)
-    if title := _TITLE.search(visible):
-        fields.append(("title", _clean(title[1])))
-    if language := _LANGUAGE.search(visible):
+    visible = shown(page)
+    tags = [m[0] for m in _TAG.finditer(visible[: visible.rfind(">") + 1])]
+    if (title := _title(visible)) is not None:
+        fields.append(("title", _clean(title)))
+    if language := next(filter(None, map(_LANGUAGE.match, tags)), None):
         fields.append(("language", language[1]))
-    for link in dict.fromkeys(html.unescape("".join(x)).strip() for x in _LINK.findall(visible)):
+    for link in dict.fromkeys(html.unescape("".join(x or "" for x in m.groups())).strip() for m in map(_LINK.match, tags) if m):
         try:
             fields.append(("outlink", " ".join(urljoin(record["target_uri"] or "", link).split())))
         except ValueError:  # no URL
@@ -139,8 +190,8 @@ def _rows(make, columns: list[str], first: str):
 def responses(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(id, response record) of each page."""
     kind = pages.schema[id_column].dataType.simpleString()
-    rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"))
-    return rows.mapInArrow(_rows(lambda url, page: [response(url, page)], ["url", "html"], "id"), f"id {kind}, {RECORD}").withColumnRenamed("id", id_column)
+    rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(_rows(lambda url, page, row: [response(url, page, row)], ["url", "html", "row"], "id"), f"id {kind}, {RECORD}").withColumnRenamed("id", id_column)
 
 
 def derivatives(records: DataFrame, id_column: str = "page_id") -> DataFrame:
