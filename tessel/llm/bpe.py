@@ -227,7 +227,7 @@ class Encoder:
 
     def _flush(self, batch: list[list[bytes]]) -> Iterator[list[tuple[bytes, str]]]:
         runs = set().union(*batch)
-        new = runs - self.runs.keys()
+        new = {run for run in runs if run not in self.runs}
         if len(self.runs) + len(new) > REMEMBERED:
             self.runs.clear()
             new = runs

@@ -61,7 +61,7 @@ def line_features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, doc = chunk.lines()
     lengths = ends - starts
     share = np.maximum(1, lengths).astype(float)
-    own = np.zeros((len(starts), N_OWN))
+    own = np.zeros((len(starts), N_OWN), np.float32)
     for k, marks in enumerate(_MARKS):
         total = np.concatenate([[0], np.cumsum(marks[chunk.data], dtype=np.int32)])
         own[:, k] = np.minimum(1, 4 * (total[ends] - total[starts]) / share) if k > 1 else (total[ends] - total[starts]) / share
@@ -94,7 +94,7 @@ def line_features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = doc[1:] == doc[:-1]
     before[1:][inner] = own[:-1][inner]
     after[:-1][inner] = own[1:][inner]
-    return np.concatenate([own, before, after, np.ones((len(own), 1))], 1), doc, lengths
+    return np.concatenate([own, before, after, np.ones((len(own), 1), np.float32)], 1), doc, lengths
 
 
 def marginals(logit: np.ndarray, doc: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

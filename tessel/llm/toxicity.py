@@ -140,7 +140,10 @@ class _Bags:
 
 def _summed(index: np.ndarray, table: np.ndarray, rows: np.ndarray, share: np.ndarray, n: int) -> np.ndarray:
     """Sums of shares of a table's rows by index, a column at a time."""
-    return np.stack([np.bincount(index, column[rows] * share, minlength=n) for column in np.ascontiguousarray(table.T, np.float32)], 1)
+    out = np.empty((n, table.shape[1]), np.float32)
+    for k in range(table.shape[1]):
+        out[:, k] = np.bincount(index, table[:, k].astype(np.float32)[rows] * share, minlength=n)
+    return out
 
 
 def fit(doc: np.ndarray, target: np.ndarray, texts: pa.Array, seed: int = 0, rounds: tuple[int, ...] = (20, 8, 8, 8, 8)) -> Model:

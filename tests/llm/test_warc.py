@@ -2,6 +2,11 @@
 
 import base64
 import hashlib
+import re
+import time
+from html.parser import HTMLParser
+
+import numpy as np
 
 from tessel.llm import warc
 
@@ -21,6 +26,61 @@ def test_plain_text():
     assert warc.plain_text("") == "" and warc.plain_text("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
 
 
+class Reader(HTMLParser):
+    """Visible text by the standard library's parser."""
+
+    BREAKS = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section header footer nav main aside title head body html blockquote pre hr form figure".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript", "template")
+        self.out.append("\n" if tag in self.BREAKS else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "noscript", "template") and self.hidden > 0
+        self.out.append("\n" if tag in self.BREAKS else " " if tag in ("script", "style", "noscript", "template") else "")
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    def handle_data(self, data):
+        self.out.append("" if self.hidden else data)
+
+    @classmethod
+    def read(cls, page):
+        reader = cls()
+        reader.feed(page)
+        reader.close()
+        return "\n".join(" ".join(line.split()) for line in "".join(reader.out).split("\n") if line.split())
+
+
+def test_plain_text_is_that_of_a_parser(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for page in [PAGE, *filter(None, pages)]:
+        assert " ".join(warc.plain_text(page).split()) == " ".join(Reader.read(page).split())
+
+
+def test_hidden_parts_by_a_plain_pattern():
+    hidden = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
+    rng = np.random.default_rng(3)
+    pieces = ["<!--", "-->", "<script>", "<SCRIPT a", ">", "</script >", "<style>", "</style>", "<![CDATA[", "]]>", "text ", "<", "</script", "<template>", "</template>"]
+    for _ in range(3000):
+        page = "".join(rng.choice(pieces, rng.integers(1, 14)))
+        assert warc.shown(page) == hidden.sub(" ", page), page
+
+
+def test_hostile_pages_take_linear_time():
+    for piece in ("<!--", "<script", "<script>", "<a<a", "<title>", "<html ", "<![CDATA[", "</script ", "<a href=", '<a href="'):
+        for end in ("", ">", "-->", "</title>"):
+            page = piece * 200_000 + end
+            began = time.process_time()
+            warc.derived(warc.response("http://a.example/", page))
+            assert time.process_time() - began < 20, piece
+
+
 def test_derivatives(spark):
     rows = [(1, "http://a.example/d/p.html", PAGE), (2, None, None), (3, "not a url [", "<a href='http://[x'>q</a>"), (None, "http://b.example/", "plain"), (1, "http://a.example/d/p.html", PAGE), (4, "http://c.example/", "long " * 50_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS type", "1 AS block", "2 AS id")
@@ -28,6 +88,7 @@ def test_derivatives(spark):
     made = warc.derivatives(warc.responses(pages)).collect()
     assert len(sources) == len(rows) and len(made) == 2 * len(rows)
     by_id = {r["record_id"]: r for r in sources}
+    assert len(by_id) == len(sources) and len({r["record_id"] for r in made}) == len(made)  # repeated pages too
     for r in made:
         source, named = by_id[r["refers_to"]], {h["name"]: h["value"] for h in r["headers"]}
         assert r["page_id"] == source["page_id"] and r["target_uri"] == source["target_uri"] and r["date"] == source["date"]
