@@ -48,6 +48,11 @@ def among(value: Column, options: list[int]) -> Column:
     return value.isin(options)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it; for use inside a function of a cell."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Frame:
     """The grids of a DataFrame (columns g, h, w, err) while an operator is built over them.
 

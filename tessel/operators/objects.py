@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions.grids import Frame, at, cells
+from tessel.functions.grids import Frame, at, bound, cells
 from tessel.functions.labels import regions
 from tessel.functions.selectors import Objects
 from tessel.operators.base import operator
@@ -271,10 +272,10 @@ def majority_filter(f: Frame, conn: int) -> DataFrame:
     """A cell takes the one commonest value of itself and its neighbours; a tie keeps the cell."""
 
     def cell(r: Column, c: Column, v: Column) -> Column:
-        near = neighbours(f, r, c, (AROUND_8 if conn == 8 else AROUND_4) + [(0, 0)])
-        ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.struct((-F.size(F.filter(near, lambda x: x == k))).alias("n"), k.alias("k"))))
-        first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-        return F.when(first["n"] < second["n"], first["k"]).otherwise(v)
+        counted = lambda near: F.transform(F.array_distinct(near), lambda k: F.struct(F.size(F.filter(near, lambda x: x == k)).alias("n"), k.alias("v")))
+        single = lambda counts, top: F.size(F.filter(counts, lambda x: x["n"] == top["n"])) == 1
+        chosen = lambda counts: bound(F.array_max(counts), lambda top: F.when(single(counts, top), top["v"]).otherwise(v))
+        return bound(neighbours(f, r, c, (AROUND_8 if conn == 8 else AROUND_4) + [(0, 0)]), lambda near: bound(F.filter(counted(near), lambda x: x["v"] >= 0), chosen))
 
     return f.same(cell)
 
@@ -449,28 +450,30 @@ def slid(grid: list[list[int]], parts: list[list[tuple[int, int]]], dy: int, dx:
     return out
 
 
+def _sight(grid: np.ndarray, r: int, c: int, way: tuple[int, int]) -> tuple[int, int] | None:
+    """Distance and value of the first filled cell seen from a cell in one direction."""
+    ray = {(-1, 0): grid[:r, c][::-1], (1, 0): grid[r + 1 :, c], (0, -1): grid[r, :c][::-1], (0, 1): grid[r, c + 1 :]}[way]
+    filled = np.flatnonzero(ray)
+    return (int(filled[0]) + 1, int(ray[filled[0]])) if len(filled) else None
+
+
 def flown(grid: list[list[int]], parts: list[list[tuple[int, int]]], target: int) -> list[list[int]]:
-    """Parts fly one after another to the nearest target they face, and stop beside it."""
-    h, w, out = len(grid), len(grid[0]), [[*row] for row in grid]
-    for r, c in (p for part in parts for p in part):
-        out[r][c] = 0
+    """Parts leave the grid, then fly in one after another towards the target that is nearest straight ahead of any side of
+    theirs, unless something else is nearer on that side, and stop beside it; those that face none stay.  Equal ways: up, then left, right, down."""
+    before = np.array(grid)
+    now = before.copy()
     for part in parts:
-        ways = []
-        for dy, dx in AROUND_4:
-            seen = []
-            for r, c in part:
-                k = 1
-                while 0 <= r + k * dy < h and 0 <= c + k * dx < w:
-                    if (r + k * dy, c + k * dx) not in part and out[r + k * dy][c + k * dx]:
-                        seen.append((k, out[r + k * dy][c + k * dx]))
-                        break
-                    k += 1
-            if seen and min(seen, key=lambda s: s[0])[1] == target:
-                ways.append((min(seen, key=lambda s: s[0])[0] - 1, dy, dx))
-        k, dy, dx = min(ways, default=(0, 0, 0))
-        for r, c in part:
-            out[r + k * dy][c + k * dx] = grid[r][c]
-    return out
+        now[tuple(np.array(part).T)] = 0
+    for part in parts:
+        cells, free = np.array(part), []
+        for way in sorted(AROUND_4):
+            seen = [s for s in (_sight(now, r, c, way) for r, c in part) if s]
+            nearest = min(seen, key=lambda s: s[0], default=(0, 0))
+            if nearest[1] == target:
+                free.append((nearest[0] - 1, way))
+        steps, way = min(free, default=(0, (0, 0)))
+        now[tuple((cells + steps * np.array(way)).T)] = before[tuple(cells.T)]
+    return now.tolist()
 
 
 def largest_empty(grid: list[list[int]]) -> list[int] | None:

@@ -41,9 +41,21 @@ def check(pairs: DataFrame, program: Program) -> DataFrame:
 
 
 def explaining(pairs: DataFrame, programs: list[Program]) -> DataFrame:
-    """(task_id, program): which of the candidate programs explain which tasks.  One scan of the pairs for each program."""
-    found = [check(pairs, p).where("ok").select("task_id", F.lit(text(p)).alias("program")) for p in programs]
-    return reduce(DataFrame.unionByName, found)
+    """(task_id, program): which of the candidate programs explain which tasks.
+
+    All candidates are projections of one scan of the pairs: each adds whether it makes the wanted grid, and one
+    aggregation says which hold for all pairs of a task.
+    """
+    made, flags = pairs, []
+    for n, program in enumerate(programs):
+        kept, flag = made.columns, f"_ok_{n}"
+        done = run(made.select(*kept, F.struct("g", "h", "w", "err").alias("_own")), program)
+        ok = F.coalesce(F.col("g") == F.col("wanted"), F.lit(False)).alias(flag)
+        made = done.select(*[F.col(f"_own.{c}").alias(c) if c in ("g", "h", "w", "err") else F.col(c) for c in kept], ok)
+        flags.append(flag)
+    fits = made.groupBy("task_id").agg(*[F.bool_and(flag).alias(flag) for flag in flags])
+    named = F.array_compact(F.array(*[F.when(F.col(flag), F.lit(text(p))) for flag, p in zip(flags, programs)]))
+    return fits.select("task_id", F.explode(named).alias("program"))
 
 
 def error(g: str = "g", wanted: str = "wanted") -> F.Column:

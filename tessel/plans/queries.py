@@ -33,7 +33,7 @@ PLANS: dict[str, tuple[list[tuple[str, dict]], dict]] = {
     "symmetrize": ([], {"mode": "h"}),
     "half": ([], {"which": "right"}),
     "half_logic": ([], {"axis": 1, "mode": "or", "color": 5}),
-    "fractal": ([("crop_fixed", {"corner": "tl", "h": 5, "w": 5})], {}),
+    "fractal": ([("pool", {"k": 3, "mode": "major"})], {}),
     "draw_border": ([], {"color": 7}),
     "remove_border": ([], {}),
     "draw_grid_lines": ([], {"period": 3, "color": 6}),
@@ -47,10 +47,10 @@ PLANS: dict[str, tuple[list[tuple[str, dict]], dict]] = {
     "symmetrize_bbox": ([("keep_color", {"color": 3})], {"mode": "v"}),
     "crop_to_color": ([], {"color": 3, "inner": False}),
     "crop_fixed": ([], {"corner": "br", "h": 5, "w": 4}),
-    "extract_period": ([("crop_fixed", {"corner": "tl", "h": 3, "w": 4}), ("tile", {"ny": 2, "nx": 3})], {}),
+    "extract_period": ([("tile", {"ny": 2, "nx": 2})], {}),
     "take_part": ([], {"ny": 2, "nx": 2, "idx": 2}),
     "overlay_parts": ([], {"ny": 2, "nx": 2, "order": []}),
-    "keep_center_line": ([("crop_fixed", {"corner": "tl", "h": 11, "w": 11})], {"axis": 1}),
+    "keep_center_line": ([("keep_color", {"color": 3}), ("crop_to_content", {})], {"axis": 1}),
     "concat_with": ([], {"axis": 0, "tf": "rot180", "swap": True}),
     "self_logic": ([], {"tf": "transpose", "mode": "xor", "color": 8}),
     "recolor": ([], {"src": 2, "dst": 9}),
@@ -111,16 +111,16 @@ PLANS: dict[str, tuple[list[tuple[str, dict]], dict]] = {
     "stamp_template": ([("keep_color", {"color": 3})], {"marker": -1, "recolor": False}),
     "slide_toward": ([], {"mover": 1, "target": 3}),
     "connect_to_target": ([], {"mover": 1, "target": 3}),
-    "repair_tiling": ([("crop_fixed", {"corner": "tl", "h": 3, "w": 3}), ("tile", {"ny": 3, "nx": 3}), ("pad_replicate", {"n": 1, "corners": True}), ("crop_fixed", {"corner": "tl", "h": 9, "w": 9})], {"mask": 0, "crop": False}),
+    "repair_tiling": ([("pool", {"k": 3, "mode": "major"}), ("tile", {"ny": 2, "nx": 2}), ("draw_border", {"color": 9})], {"mask": 9, "crop": False}),
     "repair_symmetry": ([("symmetrize", {"mode": "h"})], {"mask": 3, "mode": "v", "crop": False}),
     "extend_periodic": ([], {"axis": 1}),
     "fill_holes_by_area": ([], {"colors": [7, 8, 9]}),
     "flood_from_seed": ([], {"seed": 3, "color": 7}),
-    "draw_rect_between": ([("crop_fixed", {"corner": "tl", "h": 4, "w": 4})], {"fill": True, "color": 7}),
+    "draw_rect_between": ([("pool", {"k": 3, "mode": "major"})], {"fill": True, "color": 7}),
     "fill_largest_empty_rect": ([], {"color": 7}),
     "object_histogram": ([], {"seg": "c8"}),
     "unify_multicolor": ([], {"mode": "major", "seg": "m4"}),
-    "mirror_over_line": ([("draw_grid_lines", {"period": 7, "color": 5}), ("crop_fixed", {"corner": "tl", "h": 12, "w": 6})], {"line": 5}),
+    "mirror_over_line": ([("overlay_parts", {"ny": 1, "nx": 2, "order": []}), ("draw_grid_lines", {"period": 7, "color": 5})], {"line": 5}),
     "fill_cells": ([LINES], {"mode": "nonempty", "color": -1}),
     "step_toward": ([], {"mover": 1, "target": 3, "steps": 1}),
     "recolor_by_shape_match": ([], {"src": 1}),
@@ -194,6 +194,7 @@ def _objects(cases: str) -> str:
     return f"SELECT k.gid, k.r, k.c, {cases} AS v FROM cells k LEFT JOIN own USING (gid, r, c) LEFT JOIN o ON o.gid = k.gid AND o.k = own.k"
 
 
+_POOLED = "a AS (SELECT gid, r // 3 AS r, c // 3 AS c, v, count(*) AS n FROM cells GROUP BY ALL), part AS (SELECT gid, r, c, v FROM a QUALIFY row_number() OVER (PARTITION BY gid, r, c ORDER BY n DESC, v) = 1)"
 _LARGEST = "o.size = max(o.size) OVER (PARTITION BY k.gid)"
 _PANELS = "kept AS (SELECT gid, r // 4 AS i, c // 4 AS j, r % 4 AS y, c % 4 AS x, v FROM cells WHERE r % 4 < 3 AND c % 4 < 3)"
 _STACK = "row_number() OVER (PARTITION BY gid, c ORDER BY r DESC)"
@@ -217,7 +218,37 @@ ORACLE_SQL = {
     "grid_symmetrize": _sql(_case(f"CASE WHEN v > 0 THEN v ELSE {_get('k.r', '11 - k.c')} END")),
     "grid_half": _sql(_push("r", "c - 6", "c >= 6")),
     "grid_half_logic": _sql("SELECT gid, a.r, a.c, CASE WHEN a.v > 0 OR b.v > 0 THEN 5 ELSE 0 END AS v FROM cells a JOIN (SELECT gid, r, c - 6 AS c, v FROM cells WHERE c >= 6) b USING (gid, r, c)"),
-    "grid_fractal": _sql("SELECT a.gid, a.r * 5 + b.r AS r, a.c * 5 + b.c AS c, CASE WHEN a.v > 0 THEN b.v ELSE 0 END AS v FROM part a JOIN part b USING (gid)", "part AS (SELECT * FROM cells WHERE r < 5 AND c < 5)"),
+    "grid_fractal": _sql("SELECT a.gid, a.r * 4 + b.r AS r, a.c * 4 + b.c AS c, CASE WHEN a.v > 0 THEN b.v ELSE 0 END AS v FROM part a JOIN part b USING (gid)", _POOLED),
+    "grid_extract_period": _sql("SELECT * FROM cells"),
+    "grid_repair_tiling": _sql("SELECT gid, r + 4 * y.i AS r, c + 4 * x.i AS c, v FROM part, range(2) y(i), range(2) x(i)", _POOLED),
+    "grid_slide_cells": _sql(
+        "SELECT gid, r, c, CASE WHEN wall THEN v WHEN row_number() OVER (PARTITION BY gid, r, seg, wall ORDER BY c DESC) <= sum((v = 2)::INT) OVER (PARTITION BY gid, r, seg, wall) THEN 2 ELSE 0 END AS v FROM (SELECT *, sum(wall::INT) OVER (PARTITION BY gid, r ORDER BY c) AS seg FROM (SELECT *, v NOT IN (0, 2) AS wall FROM cells))"
+    ),
+    "grid_swap_object_colors": _sql(
+        "SELECT k.gid, k.r, k.c, CASE WHEN n.m = 2 THEN n.lo + n.hi - k.v ELSE k.v END AS v FROM cells k LEFT JOIN own USING (gid, r, c) LEFT JOIN n ON n.gid = k.gid AND n.k = own.k",
+        _labels(False, "v > 0", "true"),
+        "n AS (SELECT gid, k, count(DISTINCT v) AS m, min(v) AS lo, max(v) AS hi FROM own GROUP BY gid, k)",
+    ),
+    "grid_unify_multicolor": _sql(
+        "SELECT k.gid, k.r, k.c, coalesce(n.v, k.v) AS v FROM cells k LEFT JOIN own USING (gid, r, c) LEFT JOIN n ON n.gid = k.gid AND n.k = own.k AND n.place = 1",
+        _labels(False, "v > 0", "true"),
+        "n AS (SELECT gid, k, v, count(*) AS n, row_number() OVER (PARTITION BY gid, k ORDER BY count(*) DESC, v) AS place FROM own GROUP BY gid, k, v)",
+        refused="SELECT a.gid FROM n a JOIN n b ON a.gid = b.gid AND a.k = b.k AND a.place = 1 AND b.place = 2 AND a.n = b.n GROUP BY a.gid",
+    ),
+    "grid_recolor_from_marker": _sql(
+        "SELECT q.gid, q.r, q.c, CASE WHEN t.v IS NOT NULL THEN t.v WHEN own.k IN (SELECT x.marker FROM near x JOIN taken y ON y.gid = x.gid AND y.k = x.k WHERE x.gid = q.gid) THEN 0 ELSE q.v END AS v FROM cells q LEFT JOIN own USING (gid, r, c) LEFT JOIN taken t ON t.gid = q.gid AND t.k = own.k",
+        _labels(True),
+        "near AS (SELECT DISTINCT b.gid, b.k, m.k AS marker, m.v FROM own b JOIN o ON o.gid = b.gid AND o.k = b.k AND o.size > 1 JOIN o m ON m.gid = b.gid AND m.size = 1 AND abs(m.r0 - b.r) <= 1 AND abs(m.c0 - b.c) <= 1)",
+        "taken AS (SELECT gid, k, min(v) AS v FROM near GROUP BY gid, k HAVING count(DISTINCT v) = 1)",
+    ),
+    "grid_fill_largest_empty_rect": _sql(
+        "SELECT k.gid, k.r, k.c, CASE WHEN k.r BETWEEN r0 AND r1 AND k.c BETWEEN c0 AND c1 THEN 7 ELSE k.v END AS v FROM cells k JOIN best USING (gid)",
+        "sums AS (SELECT gid, r, c, sum((v > 0)::INT) OVER (PARTITION BY gid, c ORDER BY r) AS n FROM cells)",
+        "cols AS (SELECT b.gid, y.i AS r0, b.r AS r1, b.c, b.n - coalesce(a.n, 0) = 0 AS free FROM sums b JOIN range(12) y(i) ON y.i <= b.r LEFT JOIN sums a ON a.gid = b.gid AND a.c = b.c AND a.r = y.i - 1)",
+        "runs AS (SELECT gid, r0, r1, min(c) AS c0, max(c) AS c1 FROM (SELECT *, c - row_number() OVER (PARTITION BY gid, r0, r1 ORDER BY c) AS run FROM cols WHERE free) GROUP BY gid, r0, r1, run)",
+        "big AS (SELECT *, (r1 - r0 + 1) * (c1 - c0 + 1) AS area FROM runs), best AS (SELECT * FROM big WHERE area > 1 QUALIFY area = max(area) OVER (PARTITION BY gid) AND count(*) OVER (PARTITION BY gid, area) = 1)",
+        refused="SELECT gid FROM ids WHERE gid NOT IN (SELECT gid FROM best)",
+    ),
     "grid_draw_border": _sql(_case("CASE WHEN r IN (0, 11) OR c IN (0, 11) THEN 7 ELSE v END")),
     "grid_remove_border": _sql(_push("r - 1", "c - 1", "r BETWEEN 1 AND 10 AND c BETWEEN 1 AND 10")),
     "grid_draw_grid_lines": _sql(_case("CASE WHEN r % 3 = 2 OR c % 3 = 2 THEN 6 ELSE v END")),
@@ -249,7 +280,11 @@ ORACLE_SQL = {
     "grid_crop_fixed": _sql(_push("r - 7", "c - 8", "r >= 7 AND c >= 8")),
     "grid_take_part": _sql(_push("r - 6", "c", "r >= 6 AND c < 6")),
     "grid_overlay_parts": _sql(_grid(6, 6, "coalesce(" + ", ".join(f"nullif({_get(f'k.r + {y}', f'k.c + {x}')}, 0)" for y in (0, 6) for x in (0, 6)) + ", 0)")),
-    "grid_keep_center_line": _sql("SELECT gid, r, c, CASE WHEN c = 5 THEN v ELSE 0 END AS v FROM cells WHERE r < 11 AND c < 11"),
+    "grid_keep_center_line": _sql(
+        "SELECT gid, r - r0 AS r, c - c0 AS c, CASE WHEN v = 3 AND 2 * c = c0 + c1 THEN 3 ELSE 0 END AS v FROM cells JOIN box USING (gid) WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1",
+        "box AS (SELECT gid, min(r) r0, max(r) r1, min(c) c0, max(c) c1 FROM cells WHERE v = 3 GROUP BY gid)",
+        refused="SELECT gid FROM ids WHERE gid NOT IN (SELECT gid FROM box WHERE (c1 - c0) % 2 = 0)",
+    ),
     "grid_concat_with": _sql(_push("11 - r", "11 - c") + " UNION ALL " + _push("r + 12", "c")),
     "grid_self_logic": _sql(_case(f"CASE WHEN (v > 0) <> ({_get('k.c', 'k.r')} > 0) THEN 8 ELSE 0 END")),
     "grid_recolor": _sql(_case("CASE WHEN v = 2 THEN 9 ELSE v END")),

@@ -12,10 +12,10 @@ from tessel.operators import OPERATORS
 from tessel.operators.panels import fitted
 from tessel.operators.steps import LAYER_STEPS, OBJECT_STEPS, SEARCH_STEPS
 from tessel.plans.queries import LINES, _labels, _sql
-from tessel.sources.grids import from_lineitem, to_cells
+from tessel.sources.grids import FEW_ORDERS, ORDERS, from_lineitem, to_cells
 
-#: Grids of 4 x 4 cells in an empty frame, so that things have room to move.
-SMALL = [("crop_fixed", {"corner": "tl", "h": 4, "w": 4}), ("pad", {"n": 2, "color": 0})]
+#: Marks plans over the grids of fewer lines, so that things have room to move.
+SMALL: list[tuple[str, dict]] = [("remove_color", {"color": 2})]
 THREES = [("keep_color", {"color": 3})]
 PLANS: dict[str, tuple[dict, list[tuple[str, dict]], dict]] = {
     "step_keep_selected": (OBJECT_STEPS, [], {"selector": "largest"}),
@@ -24,14 +24,14 @@ PLANS: dict[str, tuple[dict, list[tuple[str, dict]], dict]] = {
     "step_crop_selected": (OBJECT_STEPS, [], {"selector": "largest", "source": 3}),
     "step_fill_selected_bbox": (OBJECT_STEPS, [], {"selector": "largest"}),
     "step_outline_selected_bbox": (OBJECT_STEPS, [], {"selector": "unique_area"}),
-    "step_transform_selected": (OBJECT_STEPS, SMALL, {"selector": "unique_shape", "transform": 1}),
+    "step_transform_selected": (OBJECT_STEPS, SMALL, {"selector": "unique_area", "transform": 1}),
     "step_gravity_selected": (OBJECT_STEPS, [], {"selector": "largest", "direction": "down"}),
     "layer_gravity_objects": (LAYER_STEPS, [], {"direction": "left"}),
     "layer_conditional_line_gravity": (LAYER_STEPS, [], {"source": 3, "marker": 1, "direction": "down"}),
     "layer_connect_layer": (LAYER_STEPS, [], {"source": 3, "axis": "both"}),
     "layer_extend_rays": (LAYER_STEPS, [], {"source": 3, "direction": "right"}),
     "layer_complete_symmetry": (LAYER_STEPS, THREES, {"source": 3, "axis": "both", "frame": "bbox"}),
-    "layer_repeat_objects": (LAYER_STEPS, [*THREES, ("crop_fixed", {"corner": "tl", "h": 3, "w": 3}), ("tile", {"ny": 1, "nx": 2}), ("pad", {"n": 3, "color": 0})], {"source": 3, "axis": "horizontal", "scope": "both"}),
+    "layer_repeat_objects": (LAYER_STEPS, [*SMALL, *THREES, ("tile", {"ny": 1, "nx": 2})], {"source": 3, "axis": "horizontal", "scope": "both"}),
     "layer_stamp_markers": (LAYER_STEPS, SMALL, {"source": 3, "marker": 1}),
     "layer_panel_boolean": (LAYER_STEPS, [], {"axis": 1, "mode": "a_minus_b", "target": 8, "gap": 0}),
     "layer_fill_enclosures": (LAYER_STEPS, [], {"target": 7}),
@@ -67,7 +67,7 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     step = name.split("_", 1)[1]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        grids = from_lineitem(spark, sf_dir)
+        grids = from_lineitem(spark, sf_dir, FEW_ORDERS if before[:1] == SMALL else ORDERS)
         for earlier, parameters in before:
             grids = OPERATORS[earlier](grids, **parameters)
         return to_cells(bank[step](grids, **given))
@@ -86,7 +86,7 @@ def panel_programs_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {name: _query(name) for name in PLANS} | {"panel_programs_fitted": panel_programs_fitted}
 
-_SMALL = "sm AS (SELECT ids.gid, y.i::INT AS r, x.i::INT AS c, coalesce(s.v, 0) AS v FROM ids CROSS JOIN range(8) y(i) CROSS JOIN range(8) x(i) LEFT JOIN (SELECT * FROM cells WHERE r < 4 AND c < 4) s ON s.gid = ids.gid AND s.r = y.i - 2 AND s.c = x.i - 2)"
+_SMALL = "sm AS (SELECT gid, r, c, CASE WHEN v = 2 THEN 0 ELSE v END AS v FROM cells)"
 _THREES = "k3 AS (SELECT gid, r, c, CASE WHEN v = 3 THEN 3 ELSE 0 END AS v FROM cells)"
 
 
@@ -127,7 +127,7 @@ def _moved(dr: str, dc: str, erase: bool, *more: str, refused: str = "") -> str:
     ctes = [*(more or (to,)), "src AS (SELECT gid, r, c FROM fg WHERE v = 3 AND bg <> 3)", "dst AS (SELECT gid, r + dr AS r, c + dc AS c FROM src JOIN m USING (gid))"]
     wrong = "SELECT gid FROM ids WHERE gid NOT IN (SELECT gid FROM dst) OR gid IN (SELECT d.gid FROM dst d LEFT JOIN fg USING (gid, r, c) WHERE fg.v IS NULL OR fg.v NOT IN (fg.bg, 3))" + refused
     return _sql(
-        f"SELECT k.gid, k.r, k.c, CASE WHEN d.gid IS NOT NULL THEN 3 WHEN k.v = 3 AND {erase} THEN k.bg ELSE k.v END AS v FROM fg k LEFT JOIN dst d USING (gid, r, c)", _SMALL, _ground("sm", 7), *ctes, refused=wrong
+        f"SELECT k.gid, k.r, k.c, CASE WHEN d.gid IS NOT NULL THEN 3 WHEN k.v = 3 AND {erase} THEN k.bg ELSE k.v END AS v FROM fg k LEFT JOIN dst d USING (gid, r, c)", _SMALL, _ground("sm"), *ctes, refused=wrong
     )
 
 
@@ -166,7 +166,7 @@ ORACLE_SQL = {
     "layer_stamp_markers": _sql(
         "SELECT k.gid, k.r, k.c, CASE WHEN EXISTS (SELECT 1 FROM spots s WHERE s.gid = k.gid AND s.r = k.r AND s.c = k.c) THEN 3 WHEN k.v = 1 THEN k.bg ELSE k.v END AS v FROM fg k",
         _SMALL,
-        _ground("sm", 7),
+        _ground("sm"),
         _parts(),
         "t AS (SELECT * FROM o WHERE v = 3 QUALIFY count(*) OVER (PARTITION BY gid) = 1), m AS (SELECT * FROM o WHERE v = 1 QUALIFY max(size) OVER (PARTITION BY gid) = 1)",
         "spots AS (SELECT t.gid, m.r0 + own.r - t.r0 AS r, m.c0 + own.c - t.c0 AS c FROM t JOIN m USING (gid) JOIN own ON own.gid = t.gid AND own.k = t.k)",
@@ -177,7 +177,7 @@ ORACLE_SQL = {
     "layer_crop_foreground": _sql(
         "SELECT k.gid, k.r - r0 AS r, k.c - c0 AS c, k.v FROM fg k JOIN box USING (gid) WHERE k.r BETWEEN r0 AND r1 AND k.c BETWEEN c0 AND c1",
         _SMALL,
-        _ground("sm", 7),
+        _ground("sm"),
         "box AS (SELECT gid, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM fg WHERE v <> bg GROUP BY gid)",
         refused="SELECT gid FROM ids WHERE gid NOT IN (SELECT gid FROM box)",
     ),
@@ -196,7 +196,7 @@ ORACLE_SQL = {
         "",
         "",
         True,
-        "s AS (SELECT gid, r, c FROM fg WHERE v = 3 AND bg <> 3), tries AS (SELECT s.gid, n.i AS n, bool_and(coalesce(f.v IN (f.bg, 3), false)) AS free, coalesce(bool_or(t.gid IS NOT NULL), false) AS touch FROM s CROSS JOIN range(9) n(i) LEFT JOIN fg f ON f.gid = s.gid AND f.r = s.r + n.i AND f.c = s.c LEFT JOIN fg t ON t.gid = s.gid AND t.v = 1 AND abs(t.r - s.r - n.i) + abs(t.c - s.c) = 1 GROUP BY s.gid, n.i)",
+        "s AS (SELECT gid, r, c FROM fg WHERE v = 3 AND bg <> 3), tries AS (SELECT s.gid, n.i AS n, bool_and(coalesce(f.v IN (f.bg, 3), false)) AS free, coalesce(bool_or(t.gid IS NOT NULL), false) AS touch FROM s CROSS JOIN range(13) n(i) LEFT JOIN fg f ON f.gid = s.gid AND f.r = s.r + n.i AND f.c = s.c LEFT JOIN fg t ON t.gid = s.gid AND t.v = 1 AND abs(t.r - s.r - n.i) + abs(t.c - s.c) = 1 GROUP BY s.gid, n.i)",
         "m AS (SELECT gid, n AS dr, 0 AS dc FROM (SELECT * FROM tries WHERE NOT free OR touch QUALIFY row_number() OVER (PARTITION BY gid ORDER BY n) = 1) WHERE free AND touch)",
     ),
     "search_recolor_layer": _sql("SELECT gid, r, c, CASE WHEN v = 3 THEN 8 ELSE v END AS v FROM fg", _ground(), refused="SELECT gid FROM bgs WHERE bg = 3"),
@@ -205,13 +205,13 @@ ORACLE_SQL = {
         f"SELECT k.gid, k.r, k.c, CASE WHEN k.v = k.bg AND NOT {_OUTSIDE} THEN 3 ELSE k.v END AS v FROM fg k LEFT JOIN own USING (gid, r, c) LEFT JOIN o ON o.gid = k.gid AND o.k = own.k", _ground(), _parts("v <> 3", "true"), refused="SELECT gid FROM bgs WHERE bg = 3"
     ),
     "search_keep_objects": _picked("CASE WHEN o.k IS NULL THEN bg ELSE k.v END", f"WHERE NOT {_OUTSIDE}", by_place=True),
-    "search_crop_objects": _picked("", _LARGEST, _SMALL, by_place=True, table="sm", last=7, rows=_CROP),
+    "search_crop_objects": _picked("", _LARGEST, _SMALL, by_place=True, table="sm", rows=_CROP),
     "search_delete_objects": _picked("CASE WHEN o.k IS NULL THEN k.v ELSE bg END", "QUALIFY size = min(size) OVER (PARTITION BY gid)", by_place=True),
     "search_recolor_objects": _picked("CASE WHEN o.k IS NULL THEN k.v ELSE 9 END", "QUALIFY r0 = min(r0) OVER (PARTITION BY gid)", by_place=True),
     "search_fill_object_boxes": _sql(
         f"SELECT k.gid, k.r, k.c, coalesce((SELECT max(s.v) FROM sel s WHERE s.gid = k.gid AND {_IN}), k.v) AS v FROM fg k",
         _SMALL,
-        _ground("sm", 7),
+        _ground("sm"),
         _parts(),
         f"sel AS (SELECT * FROM o {_LARGEST})",
         refused=f"SELECT gid FROM ids WHERE gid NOT IN (SELECT gid FROM sel) OR gid IN (SELECT k.gid FROM fg k JOIN sel s ON s.gid = k.gid AND {_IN} WHERE k.v NOT IN (k.bg, s.v)) OR gid IN (SELECT a.gid FROM sel a JOIN sel b ON a.gid = b.gid AND a.v <> b.v AND a.r0 <= b.r1 AND b.r0 <= a.r1 AND a.c0 <= b.c1 AND b.c0 <= a.c1)",
@@ -225,3 +225,4 @@ ORACLE_SQL = {
     "search_panel_logic": _sql("SELECT gid, r, c % 4 AS c, CASE WHEN count(*) FILTER (v <> 0) % 2 = 1 THEN 8 ELSE 0 END AS v FROM cells GROUP BY gid, r, c % 4"),
     "search_panel_overlay": _sql("SELECT a.gid, a.r, a.c, CASE WHEN a.v <> 0 THEN a.v ELSE b.v END AS v FROM cells a JOIN cells b ON b.gid = a.gid AND b.c = a.c AND b.r = a.r + 6"),
 }
+ORACLE_SQL = {name: sql.replace(f"// {ORDERS}", f"// {FEW_ORDERS}") if PLANS[name][1][:1] == SMALL else sql for name, sql in ORACLE_SQL.items()}

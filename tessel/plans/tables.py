@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessel.functions.grids import Frame
 from tessel.functions.selectors import SELECTORS, Objects
 from tessel.operators import OPERATORS
-from tessel.plans import analytics, programs
+from tessel.plans import analytics, augment, programs
 from tessel.plans.queries import _BASE, _labels
 from tessel.sources.grids import from_lineitem, to_cells
 
@@ -38,11 +38,25 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gid, key, r, c, v): every grid turned k quarters, then transposed or not, with colours cycled by one."""
     grids = OPERATORS["shift_colors"](from_lineitem(spark, sf_dir), s=1)
-    out = []
-    for k in range(4):
-        turned = OPERATORS["rot90"](grids, k=k)
-        out += [to_cells(turned).withColumn("key", F.lit(f"rot{k}")), to_cells(OPERATORS["transpose"](turned)).withColumn("key", F.lit(f"rot{k}.transpose"))]
-    return reduce(DataFrame.unionByName, out)
+    f = Frame(grids)
+    g = f.let(f.g)
+    t = f.let(F.transform(F.get(g, F.lit(0)), lambda _, c: F.transform(g, lambda row: F.get(row, c))))
+    over = lambda x: F.transform(x, lambda row: F.reverse(row))
+    # A grid and its transpose, with rows, columns, both or none reversed, are all eight.
+    made = {"rot0": g, "rot0.transpose": t, "rot1": F.reverse(t), "rot1.transpose": over(g), "rot2": F.reverse(over(g)), "rot2.transpose": F.reverse(over(t)), "rot3": over(t), "rot3.transpose": F.reverse(g)}
+    rows = f.df.select("gid", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), x.alias("g")) for k, x in made.items()])).alias("x"))
+    return rows.select(F.struct("gid", "x.key").alias("gid"), "x.g").transform(to_cells).select("gid.gid", "gid.key", "r", "c", "v")
+
+
+def restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gid, key, step, r, c, v): every grid changed by ten keys, and what is left after changing it back."""
+    keys = [*augment.TURNS, "base.permute0213456789", "base.rot90.permute1023456789.transpose.run1"]
+    grids = from_lineitem(spark, sf_dir)
+    one = F.array(*[F.struct(F.lit(k).alias("key"), augment.forward(F.col("g"), k).alias("g")) for k in keys])
+    changed = grids.select("gid", F.explode(one).alias("x")).select("gid", "x.key", "x.g")
+    back = F.coalesce(*[F.when(F.col("key") == k, augment.inverse(F.col("g"), k)) for k in keys])
+    both = changed.withColumn("x", F.explode(F.array(F.struct(F.lit("changed").alias("step"), "g"), F.struct(F.lit("restored").alias("step"), back.alias("g")))))
+    return both.select(F.struct("gid", "key", "x.step").alias("gid"), "x.g").transform(to_cells).select("gid.gid", "gid.key", "gid.step", "r", "c", "v")
 
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +137,7 @@ def holdout_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.precision(labels.select((F.col("quality") == 1).alias("accepted"), (F.col("toxic") == 0).alias("correct"))).select("tasks", "accepted", F.round("precision", 9).alias("precision"), F.round("answered", 9).alias("answered"))
 
 
-QUERIES = {f.__name__: f for f in (objects, selected, augmented, layers, pipeline_of_steps, explained, operator_usage, program_lengths, first_of_each_content, chosen_by_agreement, chosen_by_product, submission_credit, holdout_precision)}
+QUERIES = {f.__name__: f for f in (objects, selected, augmented, restored, layers, pipeline_of_steps, explained, operator_usage, program_lengths, first_of_each_content, chosen_by_agreement, chosen_by_product, submission_credit, holdout_precision)}
 
 _RECORDS = "WITH rec AS (SELECT l_orderkey AS id, list(l_returnflag || l_linestatus ORDER BY l_linenumber, l_returnflag || l_linestatus) AS ops FROM lineitem GROUP BY l_orderkey)"
 
@@ -134,10 +148,24 @@ def _choice(score: str) -> str:
     SELECT user_id AS base_key, event_type AS solution, {score} AS score, min(event_id) AS first_key FROM events GROUP BY ALL)) WHERE rank <= 2"""
 
 
+def _turned(key: str, r: str, c: str, v: str = "v") -> str:
+    return f"SELECT gid, '{key}' AS key, {r} AS r, {c} AS c, {v} AS v FROM cells"
+
+
+# A step of rot90 takes (r, c) to (11 - c, r), transpose to (c, r).
+_RESTORED = f"""WITH {_BASE}, changed AS ({" UNION ALL ".join([
+    _turned("base", "r", "c"), _turned("base.rot90", "11 - c", "r"), _turned("base.rot90.rot90", "11 - r", "11 - c"), _turned("base.rot90.rot90.rot90", "c", "11 - r"),
+    _turned("base.transpose", "c", "r"), _turned("base.transpose.rot90", "11 - r", "c"), _turned("base.transpose.rot90.rot90", "11 - c", "11 - r"), _turned("base.transpose.rot90.rot90.rot90", "r", "11 - c"),
+    _turned("base.permute0213456789", "r", "c", "CASE v WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE v END"),
+    _turned("base.rot90.permute1023456789.transpose.run1", "r", "11 - c", "CASE v WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE v END"),
+])}) SELECT gid::BIGINT AS gid, key, 'changed' AS step, r::INT AS r, c::INT AS c, v::INT AS v FROM changed
+  UNION ALL SELECT gid, key, 'restored', r, c, v FROM cells CROSS JOIN (SELECT DISTINCT key FROM changed)"""
+
 ORACLE_SQL = {
     "objects": f"WITH RECURSIVE {_BASE}, {_labels(True)} SELECT gid::BIGINT AS gid, v::INT AS color, size::INT AS size, r0::INT AS r0, r1::INT AS r1, c0::INT AS c0, c1::INT AS c1, size = (r1 - r0 + 1) * (c1 - c0 + 1) AS rect FROM o",
     "layers": f"WITH RECURSIVE {_BASE}, {_labels(False)} SELECT gid::BIGINT AS gid, v::INT AS v, sum(size)::BIGINT AS n, count(*)::BIGINT AS objects, max(size)::INT AS largest, min(r0)::INT AS r0, max(r1)::INT AS r1, min(c0)::INT AS c0, max(c1)::INT AS c1, bool_or(r0 = 0 OR c0 = 0 OR r1 = 11 OR c1 = 11) AS border FROM o GROUP BY gid, v",
     "augmented": f"WITH {_BASE}, s AS (SELECT gid, r, c, CASE WHEN v > 0 THEN v + 1 ELSE 0 END AS v FROM cells), t AS (SELECT 'rot0' AS key, gid, r, c, v FROM s UNION ALL SELECT 'rot1', gid, 11 - c, r, v FROM s UNION ALL SELECT 'rot2', gid, 11 - r, 11 - c, v FROM s UNION ALL SELECT 'rot3', gid, c, 11 - r, v FROM s) SELECT gid::BIGINT AS gid, key, r::INT AS r, c::INT AS c, v::INT AS v FROM t UNION ALL SELECT gid, key || '.transpose', c::INT, r::INT, v::INT FROM t",
+    "restored": _RESTORED,
     "pipeline_of_steps": f"""WITH {_BASE}, box AS (SELECT gid, min(r) r0, max(r) r1, min(c) c0, max(c) c1 FROM cells WHERE v = 3 GROUP BY gid),
   a AS (SELECT gid, r, c, CASE WHEN v = 3 THEN 3 ELSE 0 END AS v FROM cells), b AS (SELECT gid, r - r0 AS r, c - c0 AS c, v, c1 - c0 + 1 AS w FROM a JOIN box USING (gid) WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1)
   SELECT gid::BIGINT AS gid, step::INT AS step, r::INT AS r, c::INT AS c, v::INT AS v FROM (SELECT gid, 0 AS step, r, c, v FROM cells UNION ALL SELECT gid, 1, r, c, v FROM a UNION ALL SELECT gid, 2, r, c, v FROM b

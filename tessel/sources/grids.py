@@ -9,6 +9,8 @@ from tessel.functions.grids import make
 
 #: Lines of this many neighbouring orders make one grid, so the number of grids grows with the table.
 ORDERS = 16
+#: The same for grids with more room in them.
+FEW_ORDERS = 4
 SIDE = 12
 
 
@@ -24,12 +26,12 @@ def from_text(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
     return framed(df.select("gid", digits.alias("g")))
 
 
-def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def from_lineitem(spark: SparkSession, sf_dir: str, orders: int = ORDERS) -> DataFrame:
     """12 x 12 grids: a line of an order is a cell (part, quantity) of colour 1 to 3; where lines meet the larger colour shows."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     place = (F.col("l_partkey") % SIDE) * SIDE + F.col("l_quantity").cast("int") % SIDE
     color = 1 + F.col("l_linenumber") % 3
-    grouped = lines.groupBy(F.floor(F.col("l_orderkey") / ORDERS).alias("gid"), place.alias("place")).agg(F.max(color).cast("int").alias("v"))
+    grouped = lines.groupBy(F.floor(F.col("l_orderkey") / orders).alias("gid"), place.alias("place")).agg(F.max(color).cast("int").alias("v"))
     filled = grouped.groupBy("gid").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("filled"))
     grid = make(F.lit(SIDE), F.lit(SIDE), lambda r, c: F.coalesce(F.element_at("filled", (r * SIDE + c).cast("long")), F.lit(0)))
     return framed(filled.select("gid", grid.alias("g")))

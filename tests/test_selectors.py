@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ VALUE = 2
 
 
 def described(grid, seg):
-    labels, holes = objects(grid, seg)
+    labels, holes = (x[0].as_py() for x in objects(pa.array([grid], pa.list_(pa.list_(pa.int32()))), seg))
     found = []
     for k in range(1, max(map(max, labels)) + 1):
         cells = [(r, c) for r, row in enumerate(labels) for c, n in enumerate(row) if n == k]
