@@ -33,8 +33,8 @@ from tessel.llm.bpe import Encoder, read_spec
 from tessel.llm.shared import table, written
 
 BLOCK = 4096
-ISLANDS = 3
-EPOCHS = 3
+ISLANDS = 2
+EPOCHS = 2
 GENERATIONS = 12
 POPULATION = 6
 #: Bins filled below this share of the capacity are packed again with those of other blocks, up to this share of a block's pieces.
