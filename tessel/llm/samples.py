@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -23,6 +25,15 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, m
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
+def _give_back() -> None:
+    """Hands memory that fitting no longer needs back to the system: the worker process goes on to other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     """What ``fit`` makes of the distinct rows (doc_id, text, target) of a bounded sample, in the order of id and text.
 
@@ -34,7 +45,9 @@ def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches([b.cast(schema) for b in batches], schema).group_by(names).aggregate([])
         model = fit(rows.select(names).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks())
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        model, rows = pickle.dumps(model), None
+        _give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("target").cast("int").alias("target")).repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit(schema.empty_table())
