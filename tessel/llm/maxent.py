@@ -37,7 +37,7 @@ from tessel.llm.text import Chunk, chunks, mix64
 
 CLASSES, PER_CLASS = 32, 64
 HEADS = CLASSES * PER_CLASS
-FEATURES = 1 << 15
+FEATURES = 1 << 13
 BROADCAST = 1 << 20
 BATCH, RATE, FAN_IN = 8192, 0.5, 128
 END = np.uint64(0x5EED0E2D5EED0E2D)
