@@ -12,6 +12,13 @@ SELECTORS = (
     "all", "largest", "smallest", "tallest", "widest", "leftmost", "topmost", "rightmost", "bottommost", "common_color", "rare_color", "common_shape", "dup_shape", "unique_shape",
     "touching", "holes_eq", "has_hole", "no_hole", "square", "symmetric", "color", "not_color", "size_eq", "size_gt", "size_lt", "touches_border", "inner", "rect", "not_rect", "multicolor",
 )
+#: How often a sampler chooses each selector (fixed values); enumeration tries them in this order.
+WEIGHTS = {
+    "largest": 10, "smallest": 10, "color": 14, "not_color": 4, "size_gt": 8, "size_lt": 8, "size_eq": 4, "touches_border": 6, "inner": 6, "rect": 5, "not_rect": 5, "has_hole": 6, "no_hole": 4, "tallest": 3, "widest": 3, "all": 3, "multicolor": 2,
+    "leftmost": 4, "rightmost": 4, "topmost": 4, "bottommost": 4, "common_color": 3, "rare_color": 3, "touching": 6, "square": 2, "symmetric": 2, "dup_shape": 4, "unique_shape": 4, "common_shape": 3, "holes_eq": 3,
+}
+#: Selectors with a value: a colour of the objects, a size of at most ``MOST_SIZE``, a number of holes.
+BY_COLOR, BY_SIZE, BY_HOLES, MOST_SIZE, HOLES = ("color", "not_color", "touching"), ("size_eq", "size_gt", "size_lt"), ("holes_eq",), 60, (0, 1, 2)
 _AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 
 
@@ -55,14 +62,47 @@ class Objects:
         return F.transform(self.all, lambda o: o[name])
 
     def select(self, sel: dict) -> Column:
-        """The selected objects, in order.  ``sel``: {"by": name[, "value": number]}."""
+        """The selected objects, in order.  ``sel``: {"by": name[, "value": number]}; both may be columns, so that every grid has its own."""
         by, value = sel["by"], sel.get("value")
+        if isinstance(by, Column):
+            return self.f.let(F.filter(self.all, self.test_of(value)(by)))
         if by not in SELECTORS:
             self.f.fail(F.size(self.all) > 0, "unknown selector")
             return self.f.let(F.slice(self.all, 1, 0))
         return self.f.let(F.filter(self.all, self._test(by, value)))
 
-    def _test(self, by: str, value: int | None):
+    def test_of(self, value: Column):
+        """From a column of selector names: whether an object passes."""
+        tests = {name: self._test(name, value) for name in SELECTORS}
+
+        def named(by: Column, value: Column | None = None):
+            known = tests if value is None else {name: tests[name] if name not in BY_COLOR + BY_SIZE + BY_HOLES else self._test(name, value) for name in SELECTORS}
+
+            def test(o: Column) -> Column:
+                out = F.when(F.lit(False), F.lit(False))
+                for name, passes in known.items():
+                    out = out.when(by == name, passes(o))
+                return F.coalesce(out, F.lit(False))
+
+            return test
+
+        return named
+
+    def enumerated(self) -> Column:
+        """Structs by, value, picks (object numbers): the first selector for each set of objects that any picks, and ``all`` always."""
+        let = self.f.let
+        chosen = lambda by, value: F.transform(F.filter(self.all, self._test(by, value)), lambda o: o["k"])
+        one = lambda by, value: F.struct(F.lit(by).alias("by"), (value if isinstance(value, Column) else F.lit(value)).cast("int").alias("value"), chosen(by, value).alias("picks"))
+        valued = BY_COLOR + BY_SIZE + BY_HOLES
+        colors, sizes = let(F.array_sort(F.array_distinct(self.of("color")))), let(F.array_sort(F.array_distinct(F.filter(self.of("size"), lambda n: n <= MOST_SIZE))))
+        parts = [F.array(*[one(by, None) for by in WEIGHTS if by not in valued])]
+        each = lambda values, by: F.transform(values, lambda v: one(by, v))
+        parts += [each(values, by) for bys, values in ((BY_COLOR, colors), (BY_SIZE, sizes), (BY_HOLES, F.array(*map(F.lit, HOLES)))) for by in bys]
+        found = let(F.concat(*[let(part) for part in parts]))
+        sets = let(F.transform(found, lambda x: F.array_join(x["picks"].cast("array<string>"), ",")))
+        return let(F.filter(found, lambda x, i: (F.size(x["picks"]) > 0) & ((x["by"] == "all") | (F.array_position(sets, F.get(sets, i)) == i + 1))))
+
+    def _test(self, by: str, value: int | Column | None):
         let, f = self.f.let, self.f
         extremes = {"largest": ("size", max), "smallest": ("size", min), "tallest": ("h", max), "widest": ("w", max), "leftmost": ("c0", min), "topmost": ("r0", min), "rightmost": ("c1", max), "bottommost": ("r1", max)}
         if by in extremes:

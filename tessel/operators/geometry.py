@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions.grids import Frame, at, cells, flat, make
+from tessel.functions.grids import Frame, at, cells, flat, lit, make
 from tessel.operators.base import operator
 
 #: Where cell (r, c) of a transformed h x w grid comes from.
@@ -52,7 +52,7 @@ def anti_transpose(f: Frame) -> DataFrame:
 def translate(f: Frame, dy: int, dx: int, wrap: bool) -> DataFrame:
     if wrap:
         return f.same(lambda r, c, v: f.at(F.pmod(r - dy, f.h), F.pmod(c - dx, f.w)))
-    f.fail((F.lit(abs(dy)) >= f.h) | (F.lit(abs(dx)) >= f.w), "shift too large")
+    f.fail((F.abs(lit(dy)) >= f.h) | (F.abs(lit(dx)) >= f.w), "shift too large")
     return f.same(lambda r, c, v: F.coalesce(f.at(r - dy, c - dx), F.lit(0)))
 
 

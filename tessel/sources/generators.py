@@ -46,9 +46,14 @@ def generator(build: Callable[[Frame, Column], tuple[Column, Column, Column]]) -
 
 def generate(seeds: DataFrame, name: str) -> DataFrame:
     """(gid, h, w, g, err) for each row's ``gid``, which is its seed."""
-    df = seeds.select("gid", F.lit(None).cast("array<array<int>>").alias("g"), F.lit(None).cast("int").alias("h"), F.lit(None).cast("int").alias("w"), F.lit(None).cast("string").alias("err"))
-    f = Frame(df)
-    h, w, grid = GENERATORS[name](f, F.col("gid").cast("long"))
+    return drawn(seeds.select("gid"), name, F.col("gid").cast("long"))
+
+
+def drawn(rows: DataFrame, name: str, seed: Column) -> DataFrame:
+    """``rows`` with a grid (g, h, w, err) for each row's seed."""
+    types = {"g": "array<array<int>>", "h": "int", "w": "int", "err": "string"}
+    f = Frame(rows.withColumns({column: F.lit(None).cast(kind) for column, kind in types.items()}))
+    h, w, grid = GENERATORS[name](f, seed)
     return f.finish(h, w, grid)
 
 
