@@ -160,17 +160,20 @@ ROLES = {
 }
 
 
-def layer_roles(layers: DataFrame, key: str) -> DataFrame:
+def layer_roles(layers: DataFrame, key: str, background: DataFrame | None = None) -> DataFrame:
     """(key, role, v) of the roles that exactly one layer of a grid has.
 
     ``layers``: key, v, area, components, smallest, largest, holes, touches; a row for each colour but the background.
+    ``background``: key, v, which is a role too.  The second largest layer is one of three at least.
     """
     by = Window.partitionBy(key)
     has = {role: F.col(field) == (F.min if way == "min" else F.max)(field).over(by) for role, (field, way) in ROLES.items()}
     has |= {"only_foreground": F.count(F.lit(1)).over(by) == 1, "has_hole": F.col("holes") > 0, "border_touching": F.col("touches"), "interior_only": ~F.col("touches")}
+    has["second_largest_layer"] = (F.count(F.lit(1)).over(by) >= 3) & (F.dense_rank().over(by.orderBy(F.desc("area"))) == 2)
     marked = layers.select(key, "v", F.array(*[F.when(test, F.lit(role)) for role, test in has.items()]).alias("roles"))
     each = marked.select(key, "v", F.explode(F.array_compact("roles")).alias("role"))
-    return each.groupBy(key, "role").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).where("n = 1").select(key, "role", "v")
+    found = each.groupBy(key, "role").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).where("n = 1").select(key, "role", "v")
+    return found if background is None else found.unionByName(background.select(key, F.lit("background").alias("role"), "v"))
 
 
 def valid_tasks(stages: DataFrame) -> DataFrame:

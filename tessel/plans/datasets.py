@@ -42,8 +42,8 @@ def _from_kinds(rows: DataFrame, kinds: list[str], seed: Column) -> DataFrame:
     return reduce(DataFrame.unionByName, [drawn(stored.where(F.col("gen") == kind), kind, seed) for kind in kinds])
 
 
-def sampled_programs(seeds: DataFrame, choices: list[Choice], tries: int = TRIES) -> DataFrame:
-    """(seed, gen, steps, program) of the seeds whose every step could be drawn; ``seeds``: seed long, length int.
+def sampled_programs(seeds: DataFrame, choices: list[Choice], tries: int = TRIES, most: int = max(LENGTHS)) -> DataFrame:
+    """(seed, gen, steps, program) of the seeds whose every step could be drawn; ``seeds``: seed long, length int (``most`` at most).
 
     The first operator fixes the kind of grid that the probe is.  Each step's operator differs from the one before;
     of its tries the first counts whose parameters, drawn from the probe as it is by then, are not refused and change it.
@@ -51,7 +51,7 @@ def sampled_programs(seeds: DataFrame, choices: list[Choice], tries: int = TRIES
     known = branches(choices)
     kinds = sorted({kind for c in choices for kind in c.gens})
     states = seeds.select("seed", "length", F.lit(None).cast("int").alias("last"), F.lit(None).cast("string").alias("gen"), F.array().cast(f"array<struct<{_ONE.replace(' ', ':').replace(',:', ',')}>>").alias("steps"))
-    for step in range(max(LENGTHS)):
+    for step in range(most):
         due, done = states.where(F.col("length") > step), states.where(F.col("length") <= step)
         salt = 1000 + 100 * step
         n = len(choices)
@@ -74,11 +74,11 @@ def sampled_programs(seeds: DataFrame, choices: list[Choice], tries: int = TRIES
     return states.where(F.size("steps") > 0).select("seed", "gen", "steps", F.array_join(F.transform("steps", lambda s: s["text"]), " | ").alias("program"))
 
 
-def run(rows: DataFrame, choices: list[Choice]) -> DataFrame:
-    """``rows`` (g, h, w, err and ``steps``) after all their own steps, with ``changed``: whether each step changed the grid."""
+def run(rows: DataFrame, choices: list[Choice], most: int = max(LENGTHS)) -> DataFrame:
+    """``rows`` (g, h, w, err and ``steps``, ``most`` at most) after all their own steps, with ``changed``: whether each step changed the grid."""
     known = branches(choices)
     states = rows.withColumn("changed", F.array().cast("array<boolean>"))
-    for step in range(max(LENGTHS)):
+    for step in range(most):
         longer = F.size("steps") > step
         now = F.get("steps", F.lit(step))
         due = states.where(longer & F.col("err").isNull()).withColumns({c: now[c] for c in ("branch", "a", "b", "by", "value")}).withColumn("before", F.col("g"))
@@ -93,12 +93,12 @@ def built(seeds: DataFrame, choices: list[Choice], least: int = 1, most: int = 4
     Inputs are drawn until there are enough pairs whose output differs from the input, neither of them empty, no input twice;
     each step must change at least half of them, and the outputs must not all be alike.  ``id``: eight hex digits of the content.
     """
-    made = sampled_programs(seeds.select("seed", program_length(F.col("seed"), least, most).alias("length")), choices)
+    made = sampled_programs(seeds.select("seed", program_length(F.col("seed"), least, most).alias("length")), choices, most=most)
     pick = lambda bounds, salt: (bounds[0] + draw(F.col("seed"), salt) % (bounds[1] - bounds[0] + 1)).cast("int")
     made = made.withColumns({"n_train": pick(TRAIN, 203), "n_test": pick(TEST, 204)}).withColumn("need", F.col("n_train") + F.col("n_test"))
     rows = made.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("need") * SPARE + 5)))
     rows = _from_kinds(rows.withColumn("own", _mixed(F.col("seed"), F.col("j") + 1000)), sorted({kind for c in choices for kind in c.gens}), F.col("own"))
-    pairs = run(rows.withColumn("input", F.col("g")), choices).where("err IS NULL")
+    pairs = run(rows.withColumn("input", F.col("g")), choices, most).where("err IS NULL")
     filled = lambda g: F.exists(F.flatten(g), lambda v: v != 0)
     pairs = pairs.where((F.col("g") != F.col("input")) & filled("g") & filled("input"))
     pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("seed", "input").orderBy("j"))).where("_n = 1")

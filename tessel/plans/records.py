@@ -106,7 +106,7 @@ def layer_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = rows.groupBy("gid", F.col("o.color").alias("v")).agg(
         F.sum("o.size").alias("area"), F.count(F.lit(1)).alias("components"), F.min("o.size").alias("smallest"), F.max("o.size").alias("largest"), F.sum("o.holes").alias("holes"), F.bool_or(edge).alias("touches")
     )
-    return analytics.layer_roles(layers, "gid")
+    return analytics.layer_roles(layers, "gid", f.df.select("gid", F.lit(0).alias("v")))
 
 
 def object_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from tessel.plans.queries import _BASE, _labels
 from tessel.plans.store import Results, shared_dir, written
 from tessel.plans.tables import _read
 from tessel.sources.generators import PRIME, draw
-from tessel.sources.grids import ORDERS, from_lineitem
+from tessel.sources.grids import from_lineitem
 
 
 def selectors_enumerated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,28 +57,27 @@ def one_step_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def searched_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(task_id, solved, level, error, program): a search of two levels for hidden rules of two steps."""
-    rules = [[("recolor", {"src": 1, "dst": 2}), ("flip", {"axis": 1})], [("rot90", {"k": 1}), ("keep_color", {"color": 3})], [("delete_objects", {"sel": {"by": "largest"}, "seg": "c8"}), ("transpose", {})]]
-    pool = samplers.pool(["recolor", "swap_colors", "keep_color", "remove_color", "rot90", "flip", "transpose", "delete_objects"], ("c8",))
-    return search.search(_pairs(spark, sf_dir, rules), pool, depth=2, beam=24, top=96)
-
-
-_POOL = ["recolor", "keep_color", "recolor_all", "rot90", "flip", "translate", "mirror_concat", "scale_down", "draw_border", "delete_objects"]
+    rules = [[("recolor", {"src": 1, "dst": 2}), ("flip", {"axis": 1})], [("rot90", {"k": 1}), ("keep_color", {"color": 3})], [("remove_color", {"color": 2}), ("transpose", {})]]
+    pool = samplers.pool(["recolor", "keep_color", "remove_color", "rot90", "flip", "transpose"])
+    return search.search(_pairs(spark, sf_dir, rules), pool, depth=2, beam=8, top=32)
 
 
 def _indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / ORDERS).alias("index")).distinct()
+    return _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("index"))
 
 
 def sampled_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seed, gen, length, program): a program for each seed whose every step could be drawn at the first attempt."""
-    seeds = _indices(spark, sf_dir).select(F.col("index").alias("seed"), datasets.program_length(F.col("index")).alias("length"))
-    return datasets.sampled_programs(seeds, samplers.pool(_POOL, ("c8",))).select("seed", "gen", F.size("steps").alias("length"), "program")
+    """(seed, gen, length, program): a program of one or two steps for each supplier whose every step could be drawn at the first attempt."""
+    seeds = _indices(spark, sf_dir).select(F.col("index").alias("seed"), datasets.program_length(F.col("index"), 1, 2).alias("length"))
+    made = datasets.sampled_programs(seeds, samplers.pool(["recolor", "translate", "scale_down", "keep_objects"], ("c8",)), most=2)
+    return made.select("seed", "gen", F.size("steps").alias("length"), "program")
 
 
 def sampled_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(index, id, gen, program, n_train, n_test): a task for every index."""
+    """(index, id, gen, program, n_train, n_test): a task for every supplier."""
     path = f"{shared_dir(spark)}/tasks-{uuid.uuid4().hex}"
-    made = datasets.generate(spark, _indices(spark, sf_dir), path, samplers.pool(_POOL, ("c8",)))
+    pool = samplers.pool(["recolor", "keep_color", "recolor_all", "rot90", "flip", "mirror_concat", "draw_border"])
+    made = datasets.generate(spark, _indices(spark, sf_dir), path, pool, most=3)
     return made.select("index", "id", "gen", "program", F.size("train").alias("n_train"), F.size("test").alias("n_test"))
 
 
@@ -118,7 +117,9 @@ def kept_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest()
 
 
-QUERIES = {f.__name__: f for f in (selectors_enumerated, sampled_numbers, sampled_lengths, one_step_programs, searched_programs, sampled_programs, sampled_tasks, encoded_examples, resampled_demos, layer_edges, kept_results)}
+QUERIES = {f.__name__: f for f in (selectors_enumerated, sampled_numbers, sampled_lengths, one_step_programs, encoded_examples, resampled_demos, layer_edges, kept_results)}
+#: Those of many jobs, which come last.
+LONG = {f.__name__: f for f in (searched_programs, sampled_programs, sampled_tasks)}
 
 # --- the same in SQL -------------------------------------------------------------------
 
@@ -193,6 +194,13 @@ def _marks(part: int, *names: str) -> str:
     return " UNION ALL ".join(f"SELECT task, {part}, {n}, {_ID[name]}, 0, 0, 0 FROM whole" for n, name in enumerate(names))
 
 
+#: Rows gid, role, v of the one layer that has the most or least of something, or alone has a property.
+_ALONE = [("rarest", "area = min(area) OVER g"), ("most_frequent", "area = max(area) OVER g"), ("fewest_components", "components = min(components) OVER g"), ("most_components", "components = max(components) OVER g"), ("smallest_object_layer", "smallest = min(smallest) OVER g"), ("largest_object_layer", "largest = max(largest) OVER g"),
+    ("only_foreground", "count(*) OVER g = 1"), ("has_hole", "holes > 0"), ("border_touching", "touches"), ("interior_only", "NOT touches"), ("second_largest_layer", "count(*) OVER g >= 3 AND dense_rank() OVER (PARTITION BY gid ORDER BY area DESC) = 2")]
+ROLES_SQL = f"""WITH RECURSIVE {_BASE}, {_labels(False)}, {_FEATURES}, lay AS (SELECT gid, color AS v, sum(size) AS area, count(*) AS components, min(size) AS smallest, max(size) AS largest, sum(holes) AS holes, bool_or(r0 = 0 OR c0 = 0 OR r1 = 11 OR c1 = 11) AS touches FROM ob GROUP BY gid, color),
+  has AS ({" UNION ALL ".join(f"SELECT gid, v, '{role}' AS role, ({test}) AS good FROM lay WINDOW g AS (PARTITION BY gid)" for role, test in _ALONE)})
+  SELECT gid::BIGINT AS gid, role, min(v)::INT AS v FROM has WHERE good GROUP BY gid, role HAVING count(*) = 1 UNION ALL SELECT gid::BIGINT, 'background', 0 FROM ids"""
+
 _ENCODED = f"""WITH {_BASE}, g AS (SELECT gid // 3 AS task, gid % 3 AS k, r, c, v FROM cells), whole AS (SELECT task FROM g GROUP BY task HAVING count(DISTINCT k) = 3),
   t AS ({_shown(2, 0, 1)} UNION ALL {_shown(4, 1, 2)} UNION ALL {_shown(6, 2, 3)} UNION ALL {_marks(1, "<bos>", "<train>", "<in>")} UNION ALL {_marks(3, "</in>", "<out>")} UNION ALL {_marks(5, "</out>", "<test>", "<in>")} UNION ALL {_marks(7, "</in>", "<prog>")})
   SELECT task::BIGINT AS task_id, (row_number() OVER (PARTITION BY task ORDER BY part, place) - 1)::INT AS pos, id::INT AS id, "row"::INT AS "row", col::INT AS col, seg::INT AS seg FROM t WHERE task IN (SELECT task FROM whole)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,9 +126,12 @@ def write_submission(tried: DataFrame, path: str) -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Appends the rows whose key isn't in the Parquet table at ``path`` yet, so that an interrupted job can go on."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        df = df.join(spark.read.parquet(path).select(key), key, "left_anti")
+    """Appends the rows whose key isn't in the Parquet table at ``path`` yet, so that an interrupted job can go on.
+
+    For one writer; jobs that may run twice at once keep their rows in a ``tessel.plans.store.Results``.
+    """
+    try:
+        df = df.join(df.sparkSession.read.parquet(path).select(key), key, "left_anti")
+    except AnalysisException:  # no table yet
+        pass
     df.write.mode("append").parquet(path)

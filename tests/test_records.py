@@ -59,7 +59,9 @@ def test_layer_roles(spark):
             best = (min if way == "min" else max)(f[field] for f in facts.values())
             own = [v for v, f in facts.items() if f[field] == best]
             wanted |= {(row["gid"], role, own[0])} if len(own) == 1 else set()
-        tests = {"only_foreground": lambda f: len(facts) == 1, "has_hole": lambda f: f["holes"] > 0, "border_touching": lambda f: f["touches"], "interior_only": lambda f: not f["touches"]}
+        areas = sorted({f["area"] for f in facts.values()}, reverse=True)
+        wanted.add((row["gid"], "background", 0))
+        tests = {"second_largest_layer": lambda f: len(facts) >= 3 and len(areas) > 1 and f["area"] == areas[1], "only_foreground": lambda f: len(facts) == 1, "has_hole": lambda f: f["holes"] > 0, "border_touching": lambda f: f["touches"], "interior_only": lambda f: not f["touches"]}
         for role, test in tests.items():
             own = [v for v, f in facts.items() if test(f)]
             wanted |= {(row["gid"], role, own[0])} if len(own) == 1 else set()
