@@ -140,7 +140,9 @@ def near_pairs(known: DataFrame) -> DataFrame:
             for part in _stretches(batch, batch.column(1), batch.column(4)):
                 yield part.filter(pa.array(one_edit(part.column(1), part.column(4))))
 
-    around = known.select("id", "word").mapInArrow(keys, "key long, id long")
+    # The vocabulary is small beside what is made of it: as many tasks as a shuffle has share that work.
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    around = known.select("id", "word").repartition(tasks).mapInArrow(keys, "key long, id long")
     found = around.join(known.select("id", "word", "n").mapInArrow(own, "key long, near_id long, near string, near_n long"), "key").where("id != near_id").drop("key")
     met = found.join(known.select("id", "word", "n"), "id").where(F.abs(F.char_length("word") - F.char_length("near")) <= 1)
     return met.select("id", "word", "n", "near_id", "near", "near_n").mapInArrow(verified, "id long, word string, n long, near_id long, near string, near_n long")
