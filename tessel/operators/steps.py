@@ -271,33 +271,39 @@ def gravity_objects(g: Ground, direction: str, source: int | None = None) -> Dat
     return f.finish(f.h, f.w, f.let(_simulated(lambda grid, bg, held: settled(grid, bg, held, direction))(f.g, g.bg, parts)))
 
 
+def landed(line: np.ndarray, bg: int, source: int, marker: int) -> np.ndarray | None:
+    """One line, read along the fall, after its strips of source and marker cells have fallen; None without any source.
+
+    The foremost strip falls first, and no strip passes one that has landed, so what is free ends where the last one begins.
+    A strip without a marker goes right there, over whatever stays; one with a marker stops before the first cell that stays.
+    """
+    ends = np.flatnonzero(np.diff(np.isin(line, (source, marker)), prepend=False, append=False)).reshape(-1, 2)
+    strips = [line[a:b] for a, b in ends]
+    falls = [source in strip for strip in strips]
+    if not any(falls):
+        return None
+    out = line.copy()
+    for (a, b), fall in zip(ends, falls):
+        out[a:b] = bg if fall else out[a:b]
+    stays, free = np.append(np.flatnonzero(out != bg), len(line)), len(line)
+    for (_, b), strip, fall in reversed(list(zip(ends, strips, falls))):
+        if fall:
+            stop = min(free, int(stays[np.searchsorted(stays, b)])) if marker in strip else free
+            free = stop - len(strip)
+            out[free:stop] = strip
+    return out
+
+
 def dropped(grid: np.ndarray, bg: int, source: int, marker: int, direction: str) -> list[list[int]] | None:
     """Strips of source and marker cells fall along their own line: marked ones onto anything, others onto landed strips only."""
-    turns = ("down", "left", "up", "right").index(direction)
-    fallen = np.rot90(grid, turns).copy()
-    h, w = fallen.shape
-    strips = []
-    for c in range(w):
-        line, r = fallen[:, c].copy(), 0
-        while r < h:
-            n = r
-            while n < h and line[n] in (source, marker):
-                n += 1
-            if source in line[r:n]:
-                strips.append((h - n, c, r, line[r:n]))
-                fallen[r:n, c] = bg
-            r = max(n, r + 1)
-    if not strips:
-        return None
-    taken = np.zeros((h, w), bool)
-    for _, c, r, strip in sorted(strips, key=lambda s: s[:2]):
-        n = len(strip)
-        below = lambda at: taken[at : at + n, c].any() or marker in strip and (fallen[at : at + n, c] != bg).any()  # noqa: E731,B023
-        while r + n < h and not below(r + 1):
-            r += 1
-        fallen[r : r + n, c] = strip
-        taken[r : r + n, c] = True
-    return np.rot90(fallen, -turns).tolist()
+    out = grid.copy()
+    lines = out if direction in ("left", "right") else out.T
+    lines = lines if direction in ("right", "down") else lines[:, ::-1]
+    moved = [landed(line, bg, source, marker) for line in lines]
+    for line, new in zip(lines, moved):
+        if new is not None:
+            line[:] = new
+    return None if all(new is None for new in moved) else out.tolist()
 
 
 @layer_step

@@ -1,7 +1,8 @@
 """Random grids: one for each row of a DataFrame with a ``seed``, by a counter-based hash that any engine can repeat.
 
 The generators match the distributions and rules of their kind (densities, sizes, palettes), not anyone's byte stream.
-A grid depends on its seed alone, so a lost partition comes back the same.
+A grid depends on its seed alone, so a lost partition comes back the same.  Densities, sides and counts of the kinds below are
+fixed values.
 """
 
 from __future__ import annotations

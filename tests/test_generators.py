@@ -22,6 +22,14 @@ def test_kind(name):
         assert all((((g == g[:, ::-1]) | (g == 0) | (g[:, ::-1] == 0))).all() for g in grids)
     if name == "corners":
         assert all((g == v).sum() in (0, 2) for g in grids for v in (1, 2, 3))
+    if name == "prefixrows":
+        for row in (row for g in grids for row in g if row.any()):
+            n = np.flatnonzero(row)[-1] + 1
+            assert n < len(row) and any(n > 2 * k and (row[k:n] == row[: n - k]).all() for k in (1, 2, 3))
+    if name == "rings":
+        assert sum(bool((g == 0).any() and g.any()) for g in grids) == len(grids)
+    if name == "template":
+        assert all(np.isin(g, (1, 2)).sum() >= 3 for g in grids)
     if name == "tiledx":
         for g in grids:
             whole = [(y, x) for y in range(1, g.shape[0] + 1) for x in range(1, g.shape[1] + 1) if g.shape[0] % y == 0 and g.shape[1] % x == 0]
