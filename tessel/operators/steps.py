@@ -20,6 +20,7 @@ from tessel.functions.labels import regions
 from tessel.functions.selectors import Objects
 from tessel.operators.geometry import SOURCES, TURNED, commonest
 from tessel.operators.panels import Panels, logic
+from tessel.operators.paths import following
 
 OBJECT_STEPS: dict[str, Callable[..., DataFrame]] = {}
 LAYER_STEPS: dict[str, Callable[..., DataFrame]] = {}
@@ -438,6 +439,32 @@ def _inner(g: Ground, wall: Callable[[Column], Column]) -> Callable[[Column, Col
     return lambda r, c: F.array_contains(inner, at(lab, r, c))
 
 
+@layer_step
+def follow_marker_path(g: Ground) -> DataFrame:
+    """The arrow at the end of the path that markers of its colour show.  Where whole lines of one colour cut the grid into equal
+    panels, all panels must lead to the same picture, which is the result."""
+    f = g.f
+
+    def cut(n: Column, line: Callable[[Column], Column]) -> tuple[Column, Column]:
+        """Size of the panels (null without any) and their number."""
+        at_ = f.let(F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.size(F.array_distinct(line(i))) == 1) & (F.get(line(i), F.lit(0)) != g.bg)))
+        k = F.size(at_)
+        size = f.let(F.floor((n - k) / (k + 1)).cast("int"))
+        even = (k > 0) & (size > 0) & (at_ == F.transform(at_, lambda _, i: ((i + 1) * size + i).cast("int"))) & ((n - k) % (k + 1) == 0)
+        return f.let(F.when(even & (F.size(F.array_distinct(F.transform(at_, lambda i: F.get(line(i), F.lit(0))))) == 1), size)), k + 1
+
+    (high, rows), (wide, columns) = cut(f.h, lambda i: F.get(f.g, i)), cut(f.w, lambda i: F.transform(f.g, lambda row: F.get(row, i)))
+    f.fail(high.isNotNull() & wide.isNotNull(), "cut both ways")
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    below = F.transform(numbers(rows), lambda i: F.slice(f.g, i * (high + 1) + 1, high))
+    beside = F.transform(numbers(columns), lambda i: F.transform(f.g, lambda row: F.slice(row, i * (wide + 1) + 1, wide)))
+    panels = f.let(F.when(high.isNotNull() & wide.isNotNull(), F.lit(None)).when(high.isNotNull(), below).when(wide.isNotNull(), beside).otherwise(F.array(f.g)))
+    ends = f.let(following(panels))
+    f.fail(F.exists(ends, lambda x: x.isNull()) | (F.size(F.array_distinct(ends)) != 1), "no path to follow")
+    one = f.let(F.get(ends, F.lit(0)))
+    return f.finish(F.size(one), F.size(F.get(one, F.lit(0))), one)
+
+
 @layer_step
 def fill_enclosures(g: Ground, target: int, source: int | None = None) -> DataFrame:
     inner = _inner(g, (lambda v: v != g.bg) if source is None else (lambda v: v == source))

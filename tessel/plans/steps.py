@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.functions.grids import make
 from tessel.operators import OPERATORS
 from tessel.operators.panels import fitted
 from tessel.operators.steps import LAYER_STEPS, OBJECT_STEPS, SEARCH_STEPS
 from tessel.plans.queries import LINES, _labels, _sql
-from tessel.sources.grids import FEW_ORDERS, ORDERS, from_lineitem, to_cells
+from tessel.sources.grids import FEW_ORDERS, ORDERS, SIDE, framed, from_lineitem, to_cells
 
 #: Marks plans over the grids of fewer lines, so that things have room to move.
 SMALL: list[tuple[str, dict]] = [("remove_color", {"color": 2})]
@@ -84,7 +85,22 @@ def panel_programs_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted(grids.join(reduce(DataFrame.unionByName, hidden), "gid")).select("task_id", "split", "axis", "count", "op", "mode", "background", "paint", "output_bg", F.array_join("priority", ",").alias("priority"))
 
 
-QUERIES = {name: _query(name) for name in PLANS} | {"panel_programs_fitted": panel_programs_fitted}
+def layer_follow_marker_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids with an arrow that points right, whose markers are lines of four neighbouring orders: odd ones ahead of it, even ones
+    over or under the last of them; every third grid has both, so its arrow can't choose and the grid is refused."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("gid", F.floor(F.col("l_orderkey") / FEW_ORDERS))
+    ahead = (5 + F.col("l_quantity").cast("int") % 6).cast("int")
+    up, down = 1 + F.col("l_partkey") % 3, 7 + F.col("l_partkey") % 4
+    side = F.when(F.col("gid") % 3 == 0, F.array(up, down)).when(F.col("gid") % 3 == 1, F.array(up)).otherwise(F.array(down))
+    odd = F.col("l_linenumber") % 2 == 1
+    shown = lines.groupBy("gid").agg(F.array_sort(F.collect_set(F.when(odd, ahead))).alias("ahead"), F.flatten(F.collect_set(F.when(~odd, side))).cast("array<int>").alias("aside"))
+    arrow = lambda r, c: ((c == 2) & r.between(4, 6)) | ((c == 3) & (r == 5))
+    marked = lambda r, c: ((r == 5) & F.array_contains("ahead", c)) | ((c == F.array_max("ahead")) & F.array_contains("aside", r))
+    grid = make(F.lit(SIDE), F.lit(SIDE), lambda r, c: F.when(arrow(r, c) | marked(r, c), 2).otherwise(0))
+    return to_cells(LAYER_STEPS["follow_marker_path"](framed(shown.select("gid", grid.alias("g")))))
+
+
+QUERIES = {name: _query(name) for name in PLANS} | {"layer_follow_marker_path": layer_follow_marker_path, "panel_programs_fitted": panel_programs_fitted}
 
 _SMALL = "sm AS (SELECT gid, r, c, CASE WHEN v = 2 THEN 0 ELSE v END AS v FROM cells)"
 _THREES = "k3 AS (SELECT gid, r, c, CASE WHEN v = 3 THEN 3 ELSE 0 END AS v FROM cells)"
@@ -181,6 +197,11 @@ ORACLE_SQL = {
         "box AS (SELECT gid, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM fg WHERE v <> bg GROUP BY gid)",
         refused="SELECT gid FROM ids WHERE gid NOT IN (SELECT gid FROM box)",
     ),
+    "layer_follow_marker_path": f"""WITH l AS (SELECT l_orderkey // {FEW_ORDERS} AS gid, 5 + CAST(floor(l_quantity) AS INT) % 6 AS ahead, 1 + l_partkey % 3 AS up, 7 + l_partkey % 4 AS down, l_linenumber % 2 AS odd FROM lineitem),
+  e AS (SELECT gid, max(ahead) FILTER (odd = 1) AS c, min(up) FILTER (odd = 0) AS up, max(down) FILTER (odd = 0) AS down FROM l GROUP BY gid),
+  t AS (SELECT gid, c, CASE WHEN up IS NULL THEN 5 WHEN gid % 3 = 1 THEN up ELSE down END AS r, CASE WHEN up IS NULL THEN 'right' WHEN gid % 3 = 1 THEN 'up' ELSE 'down' END AS way FROM e WHERE c IS NOT NULL AND (up IS NULL OR gid % 3 <> 0))
+  SELECT t.gid, CAST(y.i AS INT) AS r, CAST(x.i AS INT) AS c, CASE WHEN y.i = t.r AND x.i = t.c OR way = 'right' AND x.i = t.c - 1 AND abs(y.i - t.r) <= 1 OR way <> 'right' AND y.i = t.r + (CASE way WHEN 'up' THEN 1 ELSE -1 END) AND abs(x.i - t.c) <= 1 THEN 2 ELSE 0 END AS v
+  FROM t, range({SIDE}) y(i), range({SIDE}) x(i) UNION ALL SELECT gid, -1, -1, -1 FROM e WHERE c IS NULL OR up IS NOT NULL AND gid % 3 = 0""",
     "search_rotate_grid": _sql("SELECT gid, c AS r, 11 - r AS c, v FROM cells"),
     "search_reflect_grid": _sql("SELECT gid, r, 11 - c AS c, v FROM cells"),
     "search_translate_layer": _moved("1", "0", True),
@@ -225,4 +246,4 @@ ORACLE_SQL = {
     "search_panel_logic": _sql("SELECT gid, r, c % 4 AS c, CASE WHEN count(*) FILTER (v <> 0) % 2 = 1 THEN 8 ELSE 0 END AS v FROM cells GROUP BY gid, r, c % 4"),
     "search_panel_overlay": _sql("SELECT a.gid, a.r, a.c, CASE WHEN a.v <> 0 THEN a.v ELSE b.v END AS v FROM cells a JOIN cells b ON b.gid = a.gid AND b.c = a.c AND b.r = a.r + 6"),
 }
-ORACLE_SQL = {name: sql.replace(f"// {ORDERS}", f"// {FEW_ORDERS}") if PLANS[name][1][:1] == SMALL else sql for name, sql in ORACLE_SQL.items()}
+ORACLE_SQL = {name: sql.replace(f"// {ORDERS}", f"// {FEW_ORDERS}") if name in PLANS and PLANS[name][1][:1] == SMALL else sql for name, sql in ORACLE_SQL.items()}

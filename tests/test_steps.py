@@ -42,6 +42,12 @@ CASES = [
     ("layer", "stamp_markers", {"source": 3, "marker": 1, "anchor": "center", "paint": "marker", "keep_template": False}, "00000 33300 00000 00010 00000", "00000 00000 00000 00111 00000"),
     ("layer", "panel_boolean", {"axis": 1, "mode": "xor", "target": 8}, "01500 00510", "08 80"),
     ("layer", "panel_boolean", {"axis": 1, "mode": "xor", "target": 8}, "01500 00310", None),
+    ("layer", "follow_marker_path", {}, "00000000 01000000 01100010 01000000 00000000 00000010 00000000", "00000000 00000000 00000000 00000000 00000111 00000010 00000000"),
+    ("layer", "follow_marker_path", {}, "00000000 01000000 01101000 01000000 00000000", "00000000 00010000 00011000 00010000 00000000"),
+    ("layer", "follow_marker_path", {}, "00000000 00000010 01000000 01100010 01000000 00000010 00000000", None),  # markers on both sides
+    ("layer", "follow_marker_path", {}, "00000000 21000000 01101000 01000000 00000000", None),  # a third colour
+    ("layer", "follow_marker_path", {}, "0000000 0100000 0110100 0100000 5555555 0000000 0100000 0110100 0100000", "0000000 0001000 0001100 0001000"),  # two panels alike
+    ("layer", "follow_marker_path", {}, "0000000 0100000 0110100 0100000 5555555 0000000 0100000 0110010 0100000", None),
     ("layer", "fill_enclosures", {"target": 4}, "00000 02110 01010 01110 00000", "00000 02110 01410 01110 00000"),
     ("layer", "crop_foreground", {}, "3333 3013 3333", "01"),
     ("search", "rotate_grid", {"turns": 1}, "123 456", "36 25 14"),
