@@ -9,9 +9,10 @@ has its smoothed share of the tail's training tokens.  So every token, known or
 has a probability, and they sum to at most one.
 
 Training is one pass over all training documents: each task makes gradient steps on
-minibatches from the same start (the log shares of the counts) and hands over what it
-changed.  Those changes are averaged in Spark, in groups of at most ``FAN_IN``, each row
-weighted by how often a task met it.
+minibatches from the same start (the log shares of the counts) and hands over the rows that it
+met.  Those changes are averaged in Spark, in groups of at most ``FAN_IN``, each row
+weighted by how often a task met it.  Where there are more input splits than cores, up to
+``SPLITS`` of them train in one task, so what is handed over stays small beside the texts.
 
 Words are named by 64-bit hashes.  Exact counts of the words that are frequent enough
 to be among ``BROADCAST`` are sent to the tasks; occurrences of all other words go
@@ -37,9 +38,9 @@ from tessel.llm.text import Chunk, chunks, mix64
 
 CLASSES, PER_CLASS = 32, 64
 HEADS = CLASSES * PER_CLASS
-FEATURES = 1 << 13
+FEATURES = 1 << 15
 BROADCAST = 1 << 20
-BATCH, RATE, FAN_IN = 8192, 0.5, 128
+BATCH, RATE, FAN_IN, SPLITS = 8192, 0.5, 128, 8
 END = np.uint64(0x5EED0E2D5EED0E2D)
 _TAILS, _START = 2048, HEADS + 2048
 _BLOCK = 512  # rows of a table that travel together
@@ -243,6 +244,12 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(tokens, n, heads, int(total), int(distinct))
 
 
+def _handed(name: str, at: int, part: int, rows: np.ndarray, weight: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+    """Some rows of the block of a table that begins at ``at``: their places in it, weights and weighted changes."""
+    held = [np.ascontiguousarray(x, kind).tobytes() for x, kind in ((rows, "<u2"), (weight, "<f4"), (change, "<f4"))]
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int32()), pa.array([part], pa.int32()), *[pa.array([x], pa.binary()) for x in held]], names=["name", "at", "part", "rows", "weight", "change"])
+
+
 def train(texts: DataFrame, words: Vocabulary) -> Model:
     """One pass of gradient steps over all ``text``s."""
     spark = texts.sparkSession
@@ -261,16 +268,27 @@ def train(texts: DataFrame, words: Vocabulary) -> Model:
         part = TaskContext.get().partitionId()
         for name, old, new, seen in (("classes", begun.classes, learner.model.classes, learner.seen[0]), ("words", begun.words, learner.model.words, learner.seen[1])):
             for at in range(0, len(old), _BLOCK):
-                change, weight = (new - old)[at : at + _BLOCK], seen[at : at + _BLOCK]
-                if weight.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int32()), pa.array([part], pa.int32()), pa.array([weight.tobytes()], pa.binary()), pa.array([(change * weight[:, None]).astype("<f4").tobytes()], pa.binary())], names=["name", "at", "part", "weight", "change"])
+                rows = np.flatnonzero(seen[at : at + _BLOCK])
+                if len(rows):
+                    weight = seen[at + rows]
+                    yield _handed(name, at, part, rows, weight, (new - old)[at + rows] * weight[:, None])
 
-    schema = "name string, at int, part int, weight binary, change binary"
-    changes = written(texts.select("text").mapInArrow(run, schema), "changes")
+    schema = "name string, at int, part int, rows binary, weight binary, change binary"
+    splits = texts.select("text").rdd.getNumPartitions()
+    together = texts.select("text").coalesce(max(1, -(-splits // SPLITS), min(splits, spark.sparkContext.defaultParallelism)))
+    changes = written(together.mapInArrow(run, schema), "changes")
 
     def merged(key: tuple, rows: pa.Table) -> pa.Table:
-        add = lambda name: np.sum([np.frombuffer(x, "<f4") for x in rows.column(name).to_pylist()], axis=0, dtype=np.float64).astype("<f4").tobytes()
-        return pa.table({"name": [key[0].as_py()], "at": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([key[2].as_py()], pa.int32()), "weight": [add("weight")], "change": [add("change")]})
+        at = [np.frombuffer(x, "<u2") for x in rows.column("rows").to_pylist()]
+        where, place = np.unique(np.concatenate(at), return_inverse=True)
+        ends = np.r_[0, np.cumsum([len(x) for x in at])]
+        weight, change = np.zeros(len(where)), 0
+        for i, (w, c) in enumerate(zip(rows.column("weight").to_pylist(), rows.column("change").to_pylist())):
+            own, c = place[ends[i] : ends[i + 1]], np.frombuffer(c, "<f4").reshape(len(at[i]), -1)
+            change = np.zeros((len(where), c.shape[1])) if i == 0 else change
+            weight[own] += np.frombuffer(w, "<f4")  # a task has a row once
+            change[own] += c
+        return pa.Table.from_batches([_handed(key[0].as_py(), key[1].as_py(), key[2].as_py(), where, weight, change)])
 
     parts = (changes.agg(F.max("part")).first()[0] or 0) + 1
     while True:
@@ -280,9 +298,8 @@ def train(texts: DataFrame, words: Vocabulary) -> Model:
             break
     for row in changes.toArrow().to_pylist():  # the model's own size, however large the corpus is
         own = start.classes if row["name"] == "classes" else start.words
-        weight = np.frombuffer(row["weight"], "<f4")
-        block = own[row["at"] : row["at"] + len(weight)]
-        block += np.frombuffer(row["change"], "<f4").reshape(block.shape) / np.maximum(weight, 1)[:, None]
+        rows, weight = row["at"] + np.frombuffer(row["rows"], "<u2").astype(np.int64), np.frombuffer(row["weight"], "<f4")
+        own[rows] += np.frombuffer(row["change"], "<f4").reshape(len(rows), -1) / np.maximum(weight, 1)[:, None]
     return start
 
 
