@@ -44,6 +44,7 @@ BATCH, RATE, FAN_IN, SPLITS = 8192, 0.5, 128, 8
 END = np.uint64(0x5EED0E2D5EED0E2D)
 _TAILS, _START = 2048, HEADS + 2048
 _BLOCK = 512  # rows of a table that travel together
+_SHORT = 4  # stretches of rows that are added up place by place
 
 
 class Stream:
@@ -141,17 +142,41 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _logits(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of a table's rows (kinds of features by tokens) of each token."""
+    out = np.take(table, rows[0], axis=0)
+    for kind in rows[1:]:
+        out += np.take(table, kind, axis=0)
+    return out
+
+
+def _sums(slope: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of the slopes of each stretch of ``order``; the many short stretches are added up together, place by place."""
+    out = np.take(slope, order[starts], axis=0)
+    short = sizes <= _SHORT
+    for k in range(1, _SHORT):
+        own = np.flatnonzero(short & (sizes > k))
+        out[own] += np.take(slope, order[starts[own] + k], axis=0)
+    if not short.all():
+        long = sizes[~short]
+        held = np.take(slope, order[np.repeat(~short, sizes)], axis=0)
+        out[~short] = np.add.reduceat(held, np.cumsum(long) - long, axis=0)
+    return out
+
+
 def _add(table: np.ndarray, sizes: np.ndarray, seen: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
     """One step on some rows (kinds of features by tokens): slopes are summed per row, and rows that moved much move more slowly."""
-    flat = rows.ravel()
+    flat = rows.ravel().astype(np.min_scalar_type(len(table)))  # few bytes are sorted by radix
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    total = np.add.reduceat(slope[order % len(slope)], starts, axis=0)
-    own = ordered[starts]
-    seen[own] += np.diff(np.r_[starts, len(flat)])
-    sizes[own] += (total**2).mean(1)
-    table[own] -= (RATE / np.sqrt(sizes[own] + 1.0))[:, None] * total
+    times = np.diff(np.r_[starts, len(flat)])
+    total = _sums(slope, order % len(slope), starts, times)
+    own = ordered[starts].astype(np.int64)
+    seen[own] += times
+    sizes[own] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+    total *= (RATE / np.sqrt(sizes[own] + 1.0))[:, None]
+    table[own] -= total
 
 
 class Learner:
@@ -166,14 +191,14 @@ class Learner:
         m = self.model
         for at in range(0, len(history.target), BATCH):
             rows, y = history.classes[:, at : at + BATCH], history.target[at : at + BATCH]
-            p = _softmax(m.classes[rows].sum(0) + m.classes[-1])
+            p = _softmax(_logits(m.classes, rows) + m.classes[-1])
             p[np.arange(len(y)), y] -= 1
             _add(m.classes, self.sizes[0], self.seen[0], rows, p)
             self.bias(p)
         for at in range(0, len(history.word), BATCH):
             rows, y = history.words[:, at : at + BATCH], history.word[at : at + BATCH]
             own = history.target[history.inner[at : at + BATCH]]
-            p = _softmax(m.words[rows].sum(0) + m.word_bias[own])
+            p = _softmax(_logits(m.words, rows) + m.word_bias[own])
             p[np.arange(len(y)), y] -= 1
             _add(m.words, self.sizes[1], self.seen[1], rows, p)
 
@@ -190,11 +215,11 @@ def log10(model: Model, history: History) -> np.ndarray:
     out = np.empty(len(history.target))
     for at in range(0, len(out), BATCH):
         rows, y = history.classes[:, at : at + BATCH], history.target[at : at + BATCH]
-        p = _softmax(model.classes[rows].sum(0) + model.classes[-1])
+        p = _softmax(_logits(model.classes, rows) + model.classes[-1])
         out[at : at + BATCH] = np.log10(np.maximum(p[np.arange(len(y)), y], 1e-30))
     for at in range(0, len(history.word), BATCH):
         rows, y, own = history.words[:, at : at + BATCH], history.word[at : at + BATCH], history.inner[at : at + BATCH]
-        p = _softmax(model.words[rows].sum(0) + model.word_bias[history.target[own]])
+        p = _softmax(_logits(model.words, rows) + model.word_bias[history.target[own]])
         out[own] += np.log10(np.maximum(p[np.arange(len(y)), y], 1e-30))
     return out
 
