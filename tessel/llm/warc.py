@@ -4,15 +4,16 @@ Records are rows (record_id, type, refers_to, target_uri, date, content_type, he
 array<struct<name, value>>, block binary, block_digest, payload_digest).  A derivative
 names its source in WARC-Refers-To, and repeats the source's target URI, date and payload
 digest, so each pair can be traced and checked without the source at hand.  Record ids
-are UUIDs made from what they name and the row's number in its table, so each record has
-its own, and a task that runs again makes the same ones.
+are UUIDs made from the page's id, url and text; rows equal in all three are numbered, so
+each record has its own id, whatever the order or the number of the table's files.
 
 A metadata block has ``application/warc-fields``: the source's HTTP status and headers, its
 digests and length, title, language, description and links, resolved against the target
 URI.  A conversion block is the page's visible text in UTF-8: scripts, styles and comments
 go, block elements break lines, entities are decoded, white space is collapsed.
 
-One pass over the rows, no shuffle; a row's work is its own page's.
+One pass makes the records, without a shuffle; a row's work is its own page's.  Before it,
+hashes of the rows are counted to find those that repeat.
 
 Edge cases: a null page is an empty payload; a null URL leaves the URI out; rows are kept
 one for one, repeated ones and null ids included.  Work is linear in a page's length,
@@ -35,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import table
+from tessel.llm.shared import table, written
 
 DATE = "2020-01-01T00:00:00Z"
+_COPIES = 1024  # copies of a row that one task writes out at once
 _HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 _FIELDS = [
     ("record_id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()),
@@ -119,13 +121,13 @@ def _clean(text: str) -> str:
     return " ".join(html.unescape(_without(_TAG, text, "")).split())
 
 
-def response(url: str | None, page: str | None, row: int = 0) -> dict:
-    """A response record with its HTTP head and payload; ``row`` tells repeated pages apart."""
+def response(url: str | None, page: str | None, key: str = "") -> dict:
+    """A response record with its HTTP head and payload; ``key`` tells pages of one url and text apart."""
     payload = (page or "").encode("utf-8")
     head = [("Content-Type", "text/html; charset=UTF-8"), ("Content-Length", str(len(payload)))]
     block = b"HTTP/1.1 200 OK\r\n" + "".join(f"{n}: {v}\r\n" for n, v in head).encode() + b"\r\n" + payload
     found = digest(payload)
-    return {"record_id": _id("response", url or "", found, str(row)), "type": "response", "refers_to": None, "target_uri": url, "date": DATE, "content_type": "application/http; msgtype=response", "headers": [], "block": block, "block_digest": digest(block), "payload_digest": found}
+    return {"record_id": _id("response", url or "", found, key), "type": "response", "refers_to": None, "target_uri": url, "date": DATE, "content_type": "application/http; msgtype=response", "headers": [], "block": block, "block_digest": digest(block), "payload_digest": found}
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -187,11 +189,28 @@ def _rows(make, columns: list[str], first: str):
     return run
 
 
+def numbered(pages: DataFrame) -> DataFrame:
+    """Rows (id, url, html) with ``copy``: 0, and 1, 2, .. for further rows that equal one in all three, however the rows are dealt.
+
+    Only hashes of the rows are shuffled to find those that repeat; these are counted and written out again in blocks of ``_COPIES``.
+    """
+    keyed = pages.withColumn("key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in pages.columns]))
+    again = written(keyed.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    counted = keyed.join(again, "key", "left_semi").groupBy(*pages.columns).agg(F.count(F.lit(1)).alias("n"))
+    first = F.col("block") * _COPIES
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _COPIES)))).repartition("id", "block")
+    copies = blocks.withColumn("copy", F.explode(F.sequence(first, F.least(first + _COPIES, F.col("n")) - 1)))
+    return keyed.join(again, "key", "left_anti").select(*pages.columns, F.lit(0).cast("long").alias("copy")).union(copies.select(*pages.columns, "copy"))
+
+
 def responses(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """(id, response record) of each page."""
+    """(id, response record) of each page; record ids depend on the page's id, url and text alone, copies of a row are numbered."""
     kind = pages.schema[id_column].dataType.simpleString()
-    rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(_rows(lambda url, page, row: [response(url, page, row)], ["url", "html", "row"], "id"), f"id {kind}, {RECORD}").withColumnRenamed("id", id_column)
+    rows = numbered(pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html")))
+    named = [F.coalesce(F.col("id").cast("string"), F.lit("")), *[F.col(c).isNull().cast("string") for c in ("id", "url", "html")], F.col("copy").cast("string")]
+    rows = rows.withColumn("key", F.concat_ws(" ", *named))
+    made = rows.mapInArrow(_rows(lambda url, page, key: [response(url, page, key)], ["url", "html", "key"], "id"), f"id {kind}, {RECORD}")
+    return made.withColumnRenamed("id", id_column)
 
 
 def derivatives(records: DataFrame, id_column: str = "page_id") -> DataFrame:

@@ -7,6 +7,7 @@ import time
 from html.parser import HTMLParser
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessel.llm import warc
 
@@ -103,6 +104,14 @@ def test_derivatives(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_ids_stay_under_another_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(warc, "_COPIES", 4)
+    rows = [(i, f"http://a.example/{i}", f"page {i % 3}") for i in range(20)] + [(7, "http://a.example/7", "page 1")] * 9 + [(None, None, None), (None, None, None), (None, "", None), (None, None, ""), (3, None, "page"), (3, "", "page")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, dealt = (sorted((str(r["page_id"]), str(r["target_uri"]), r["record_id"]) for r in warc.responses(p).collect()) for p in (pages.coalesce(1), pages.orderBy(F.desc("page_id")).repartition(7)))
+    assert whole == dealt and len({x[2] for x in whole}) == len(rows)
+
+
 def test_bytes(spark):
     pages = spark.createDataFrame([(1, "http://a.example/", PAGE)], "page_id long, url string, html string")
     for (data,) in warc.files(warc.derivatives(warc.responses(pages))).collect():
