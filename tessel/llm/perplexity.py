@@ -7,7 +7,8 @@ counts: continuation counts for the lower orders, three discounts for each order
 language.  The model is a table of 64-bit hashes of (order, language, n-gram), sorted into
 arrays that are looked up by binary search.  All counts enter the estimates; of the
 finished model the tasks get the n-grams and contexts of the highest counts, at most about
-``MODEL`` of them, and an n-gram left out is scored by the shorter one as an unseen one is.
+``MODEL`` of them.  Occurrences of n-grams left out go through a join with the whole table of
+estimates, so every document has the same figure as with the whole model in its task.
 
 A document's figure is the mean negative log10 probability of a symbol of its words.
 For each language a histogram over all documents that pass the base rules gives the
@@ -35,7 +36,7 @@ from tessel.llm.text import Chunk, chunks, mix64, windows
 WIDTH, LEAST_WIDTH = 5.0, 0.05
 BIN, MOST_COST = 0.002, 8.0
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Entries of the model that tasks get (12 bytes each), and symbols that the last order spreads over.
+#: Entries of the model that tasks get (12 bytes each; the others are joined), and symbols that the last order spreads over.
 MODEL, SYMBOLS = 1 << 21, 1 << 16
 MARK, NONE, DIGIT = 32, 0, 48
 #: Kinds of entries: n-grams of three, two and one symbols, and contexts of two, one and no symbols.
@@ -89,6 +90,10 @@ class Words:
         self.border_lang = lang
         self.border = last << 42 | MARK << 21 | points[start]
 
+    def predicted(self, n: int) -> np.ndarray:
+        """How many symbols of each of the chunk's ``n`` texts are predicted."""
+        return np.bincount(self.owner, self.sizes[self.which] + 1, minlength=n)
+
 
 def _merged(lang: np.ndarray, tri: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((tri, lang))
@@ -126,7 +131,7 @@ def _discounted(grams: DataFrame) -> DataFrame:
         d = k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
         return F.when((d > 0) & (d < k), d).otherwise(0.75).alias(f"d{k}")
 
-    found = of.select("lang", discount(1), discount(2), discount(3))
+    found = written(of.select("lang", discount(1), discount(2), discount(3)), "discounts")  # one row for each language; Spark sees its size
     return grams.join(found, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).drop("d1", "d2", "d3")
 
 
@@ -134,6 +139,8 @@ def _order(grams: DataFrame, context: list[str], lower: DataFrame | None, shared
     """(n-grams with probability p, contexts with their total n and share for the lower order) of one order."""
     grams = _discounted(grams)
     totals = grams.groupBy(*context).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("share"))
+    if context == ["lang"]:
+        totals = written(totals, "totals")
     below = grams.join(lower.select(*shared, F.col("p").alias("below")), shared) if lower is not None else grams.withColumn("below", F.lit(1.0 / SYMBOLS))
     out = below.join(totals, context).withColumn("p", (F.col("n") - F.col("d")) / F.col("total") + F.col("share") * F.col("below"))
     return out.drop("d", "below", "total", "share"), totals
@@ -164,7 +171,9 @@ def _names(kind: int, lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Sorted hashes of n-grams and contexts, and log10 of their probabilities and shares."""
+    """Sorted hashes of n-grams and contexts, and log10 of their probabilities and shares; ``whole`` if none was left out."""
+
+    whole = True
 
     def __init__(self, kind: np.ndarray, lang: np.ndarray, gram: np.ndarray, value: np.ndarray):
         keys = np.empty(len(kind), np.uint64)
@@ -176,17 +185,23 @@ class Model:
 
     @classmethod
     def fit(cls, counts: DataFrame, most: int = MODEL) -> Model:
-        """The entries of counts high enough to be among about ``most``; steps of counts are kept or left out whole."""
-        rows = written(estimates(counts), "estimates")
+        return cls.of(written(estimates(counts), "estimates"), most)
+
+    @classmethod
+    def of(cls, rows: DataFrame, most: int = MODEL) -> Model:
+        """The entries of written estimates with counts high enough to be among about ``most``; steps of counts are kept or left out whole."""
         step = F.floor(F.log2("n") * 16)
-        least, held = None, 0
+        least, held, whole = None, 0, True
         for r in sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True):  # at most 16 * 63 steps
             held += r["count"]
             if held > most and least is not None:
+                whole = False
                 break
             least = r["step"]
         found = rows.where(step >= F.lit(least or 0)).select("kind", "lang", "gram", "value").toArrow()
-        return cls(*[found.column(k).to_numpy() for k in range(4)])
+        out = cls(*[found.column(k).to_numpy() for k in range(4)])
+        out.whole = whole
+        return out
 
     def find(self, kind: int, lang: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -216,7 +231,20 @@ class Model:
         """Sum of negative log10 and number of predicted symbols of each text."""
         inside = np.bincount(words.of, self.log10(words.lang, words.inner), minlength=len(words.sizes))
         each = inside[words.which] + self.log10(words.border_lang, words.border)
-        return -np.bincount(words.owner, each, minlength=chunk.n), np.bincount(words.owner, words.sizes[words.which] + 1, minlength=chunk.n)
+        return -np.bincount(words.owner, each, minlength=chunk.n), words.predicted(chunk.n)
+
+    def known_costs(self, chunk: Chunk, words: Words) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """As ``costs``, but of the trigrams that the model has; of the others, text, trigram and how often it is there, by text."""
+        hit, value = self.find(TRI, words.lang, words.inner)
+        inside = np.bincount(words.of, np.where(hit, value, 0), minlength=len(words.sizes))
+        met, border = self.find(TRI, words.border_lang, words.border)
+        total = -np.bincount(words.owner, inside[words.which] + np.where(met, border, 0), minlength=chunk.n)
+        tri, lacks = words.inner[~hit], np.bincount(words.of[~hit], minlength=len(words.sizes))
+        own = np.flatnonzero(lacks[words.which])  # words that hold such trigrams
+        sizes = lacks[words.which[own]]
+        at = np.repeat((np.cumsum(lacks) - lacks)[words.which[own]], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        text = np.r_[np.repeat(words.owner[own], sizes), words.owner[~met]].astype(np.int64)
+        return total, words.predicted(chunk.n), _merged(text, np.r_[tri[at], words.border[~met]], np.ones(len(text), np.int64))
 
 
 def _statistics(chunk: Chunk, words: Words) -> list[np.ndarray]:
@@ -245,10 +273,15 @@ def _statistics(chunk: Chunk, words: Words) -> list[np.ndarray]:
     return [n_words, chars, symbols, dup, np.bincount(words.owner[covered[: len(words.owner)]], minlength=chunk.n)]
 
 
-def measure(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """(id, the base statistics, lang long: hash, cost double: mean negative log10 of a symbol, null without words) of each row."""
+def measure(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", whole: DataFrame | None = None) -> DataFrame:
+    """(id, the base statistics, lang long: hash, cost double: mean negative log10 of a symbol, null without words) of each row.
+
+    ``whole``: the estimates that ``model`` is a part of, made from these very documents; trigrams that the model
+    lacks are looked up there.  Without it they are scored by shorter ones, as unseen trigrams are.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    joined = whole is not None and not model.whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,15 +289,26 @@ def measure(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
             for chunk in chunks(batch.column(1), _TOGETHER):
                 own = langs[chunk.first : chunk.first + chunk.n]
                 words = Words(chunk, own)
-                total, size = sent.value.costs(chunk, words)
-                cost = pa.array(total / np.maximum(1, size), mask=size == 0)
+                total, size, *rest = sent.value.known_costs(chunk, words) if joined else sent.value.costs(chunk, words)
                 statistics = [pa.array(x.astype(np.int64)) for x in _statistics(chunk, words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), *statistics, pa.array(own), cost], names=["id", *names, "lang", "cost"])
+                columns = [batch.column(0).slice(chunk.first, chunk.n), *statistics, pa.array(own), pa.array(total.astype(float)), pa.array(size.astype(float))]
+                if joined:
+                    text, tri, times = rest[0]
+                    ends = pa.array(np.searchsorted(text, np.arange(chunk.n + 1)).astype(np.int32))
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (tri, times)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", *names, "lang", "total", "size", *(["tri", "times"] if joined else [])])
 
     kind = docs.schema[id_column].dataType.simpleString()
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.xxhash64(F.col(lang_column).cast("string")).alias("lang"))
-    out = texts.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names) + ", lang long, cost double")
-    return out.withColumnRenamed("id", id_column)
+    schema = f"id {kind}, " + ", ".join(f"{n} long" for n in names) + ", lang long, total double, size double"
+    out = texts.mapInArrow(run, schema + (", tri array<long>, times array<long>" if joined else ""))
+    if joined:
+        out = written(out.withColumn("row", F.monotonically_increasing_id()), "known")
+        lacking = out.select("row", "lang", F.explode(F.arrays_zip("tri", "times")).alias("x")).select("row", "lang", F.col("x.tri").alias("gram"), "x.times")
+        found = lacking.join(whole.where(F.col("kind") == TRI).select("lang", "gram", "value"), ["gram", "lang"])
+        more = found.groupBy("row").agg(F.sum(F.col("times") * F.col("value").cast("double")).alias("more"))
+        out = out.join(more, "row", "left").withColumn("total", F.col("total") - F.coalesce("more", F.lit(0.0)))
+    return out.select(F.col("id").alias(id_column), *names, "lang", F.try_divide("total", "size").alias("cost"))
 
 
 def _median(binned: DataFrame, value: Column) -> DataFrame:
@@ -286,10 +330,10 @@ def bands(measured: DataFrame) -> DataFrame:
     return middle.join(spread, "lang").select("lang", (centre - half).alias("lowest"), (centre + half).alias("highest"))
 
 
-def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """Each row's base statistics, base_failed, its cost with its language's band, and kept."""
-    model = Model.fit(written(trigram_counts(docs, text_column, lang_column), "trigrams"))
-    measured = measure(docs, model, id_column, text_column, lang_column)
+def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", most: int = MODEL) -> DataFrame:
+    """Each row's base statistics, base_failed, its cost with its language's band, and kept; ``most`` doesn't change them."""
+    whole = written(estimates(written(trigram_counts(docs, text_column, lang_column), "trigrams")), "estimates")
+    measured = measure(docs, Model.of(whole, most), id_column, text_column, lang_column, whole)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = written(measured.withColumn("base_failed", failed), "measured")
     band = written(bands(measured.where("not base_failed")), "bands")  # one row for each language; Spark sees its size

@@ -306,6 +306,19 @@ def test_a_smaller_model_backs_off(spark):
     assert all(c is not None and 0 < c < 6 for c in costs)
 
 
+def test_a_part_of_the_model_gives_the_same_result(spark, odd_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").union(odd_docs.select("doc_id", "text", "lang"))
+    docs = docs.union(docs.limit(5))
+    key = lambda r: tuple((v is not None, v) for v in (r["doc_id"], r["n_words"], r["word_chars"]))
+    whole = sorted(perplexity.quality_rules(docs).collect(), key=key)
+    for most in (1, 500):
+        part = sorted(perplexity.quality_rules(docs, most=most).collect(), key=key)
+        assert len(part) == len(whole) > 100
+        for a, b in zip(part, whole):
+            assert a[:7] == b[:7] and a["kept"] == b["kept"]
+            assert (a["cost"] is None and b["cost"] is None) or abs(a["cost"] - b["cost"]) < 1e-9
+
+
 def test_bands_reject_junk_of_each_language(spark):
     rng = np.random.default_rng(5)
     letters = {"en": "abcdefgh", "ro": "ijklmnop", "ru": "абвгдежз", None: "qrstuvwx"}  # en and ro: of one crc32 remainder by 64
