@@ -54,7 +54,6 @@ _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _TITLE_ENDS = re.compile(r"</title", re.I)
 _LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _LANGUAGE = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
-_SPACES = re.compile(r"[^\S\n]+")
 
 
 def digest(data: bytes) -> str:
@@ -113,8 +112,12 @@ def _title(visible: str) -> str | None:
 
 def plain_text(page: str) -> str:
     """A page's visible text: one line for each block that has any."""
-    text = html.unescape(_without(_TAG, _without(_BREAK, shown(page), "\n"), ""))
-    return "\n".join(line for raw in text.split("\n") if (line := _SPACES.sub(" ", raw).strip()))
+    return _lines(shown(page))
+
+
+def _lines(visible: str) -> str:
+    text = html.unescape(_without(_TAG, _without(_BREAK, visible, "\n"), ""))
+    return "\n".join(line for raw in text.split("\n") if (line := " ".join(raw.split())))
 
 
 def _clean(text: str) -> str:
@@ -155,7 +158,7 @@ def derived(record: dict) -> list[dict]:
             fields.append(("outlink", " ".join(urljoin(record["target_uri"] or "", link).split())))
         except ValueError:  # no URL
             fields.append(("outlink-unresolved", " ".join(link.split())))
-    blocks = {"metadata": ("application/warc-fields", "".join(f"{n}: {v}\r\n" for n, v in fields).encode("utf-8")), "conversion": ("text/plain; charset=UTF-8", plain_text(page).encode("utf-8"))}
+    blocks = {"metadata": ("application/warc-fields", "".join(f"{n}: {v}\r\n" for n, v in fields).encode("utf-8")), "conversion": ("text/plain; charset=UTF-8", _lines(visible).encode("utf-8"))}
     ids = {kind: _id(kind, source) for kind in blocks}
     out = []
     for kind, (content_type, block) in blocks.items():
