@@ -20,8 +20,6 @@ repeated rows and null ids are pieces of their own; an empty table packs to an e
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.bpe import Encoder, read_spec
+from tessel.llm.batches import BatchEncoder
+from tessel.llm.bpe import read_spec
 from tessel.llm.shared import table, written
 
 BLOCK = 4096
@@ -39,42 +38,7 @@ GENERATIONS = 12
 POPULATION = 6
 #: Bins filled below this share of the capacity are packed again with those of other blocks, up to this share of a block's pieces.
 WELL_FILLED, AGAIN = 0.97, 0.25
-_TOGETHER = 4096  # stretches in one call of the library
-_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch  # a word of lower-case letters
-
-
-class LibraryEncoder(Encoder):
-    """Stretches of text encoded by the tokenizers library, each distinct one once while remembered."""
-
-    def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
-        super().__init__(spec)
-        # Stretches that are one word of plain letters go to the same model without the steps before it, which don't change them.
-        bare = json.loads(spec) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "truncation": None, "padding": None}
-        self.library, self.bare = Tokenizer.from_str(spec), Tokenizer.from_str(json.dumps(bare))
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.letters = {ord(byte): letter for byte, letter in self.vocabulary.bytes.items() if byte != " "}
-
-    def learn(self, runs: set[bytes]) -> None:
-        """Many stretches are one text for the library; its word numbers say which ids are whose."""
-        listed = list(runs)
-        plain = list(map(_PLAIN, b" ".join(listed).decode("utf-8").split(" ")))
-        words, other = [run for run, m in zip(listed, plain) if m], [run for run, m in zip(listed, plain) if not m]
-        for at in range(0, len(words), _TOGETHER):
-            part = words[at : at + _TOGETHER]
-            self._keep(part, self.bare.encode(b" ".join(part).decode("latin-1").translate(self.letters), add_special_tokens=False))
-        for at in range(0, len(other), _TOGETHER):
-            part = other[at : at + _TOGETHER]
-            self._keep(part, self.library.encode([run.decode("utf-8") for run in part], is_pretokenized=True, add_special_tokens=False))
-
-    def _keep(self, part: list[bytes], coded: object) -> None:
-        ends = 4 * np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)))
-        packed, start = np.array(coded.ids, "<u4").tobytes(), 0
-        for run, end in zip(part, ends.tolist()):
-            self.runs[run] = packed[start:end], ""
-            start = end
+_SENT = 64 << 20  # bytes of ids in one batch, about
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -86,25 +50,26 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = LibraryEncoder.of(spec.value)
+        encoder = BatchEncoder.of(spec.value)
         end = np.array([end_id], "<u4").tobytes()
+        together = max(1, _SENT // (4 * capacity))
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 1000):
-                part = batch.slice(at, 1000)
-                row, piece, start, length, ids = [], [], [], [], []
-                for k, runs in enumerate(encoder.texts(part.column(1))):
-                    packed = b"".join([r[0] for r in runs]) + end
-                    for n, first in enumerate(range(0, len(packed), 4 * capacity)):
-                        cut = packed[first : first + 4 * capacity]
-                        row.append(k)
-                        piece.append(n)
-                        start.append(first // 4)
-                        length.append(len(cut) // 4)
-                        ids.append(cut)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["id", "piece", "start", "length", "ids"],
-                )
+            for at, bounds, ids in encoder.parts(batch.column(1), end):
+                tokens = np.diff(bounds) // 4
+                cuts = -(-tokens // capacity)
+                row = np.repeat(np.arange(len(cuts)), cuts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = piece * capacity
+                length = np.minimum(tokens[row] - start, capacity)
+                begin = np.append(bounds[row] + 4 * start, bounds[-1])
+                for some in range(0, len(row), together):
+                    part = slice(some, some + together)
+                    edges = begin[some : some + together + 1]
+                    packed = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges - edges[0]).astype(np.int32)), ids.slice(edges[0], edges[-1] - edges[0])])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(at + row[part])), pa.array(piece[part], pa.int32()), pa.array(start[part]), pa.array(length[part]), packed],
+                        names=["id", "piece", "start", "length", "ids"],
+                    )
 
     out = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary")
     return out.withColumnRenamed("id", id_column)
