@@ -457,22 +457,30 @@ def _sight(grid: np.ndarray, r: int, c: int, way: tuple[int, int]) -> tuple[int,
     return (int(filled[0]) + 1, int(ray[filled[0]])) if len(filled) else None
 
 
-def flown(grid: list[list[int]], parts: list[list[tuple[int, int]]], target: int) -> list[list[int]]:
+def flown(grid: list[list[int]], parts: list[list[tuple[int, int]]], target: int) -> list[list[int]] | None:
     """Parts leave the grid, then fly in one after another towards the target that is nearest straight ahead of any side of
-    theirs, unless something else is nearer on that side, and stop beside it; those that face none stay.  Equal ways: up, then left, right, down."""
+    theirs, unless something else is nearer on that side, and stop beside it; those that face none stay.  Equal ways: up, then left, right, down.
+
+    A part's own places never block its view.  None where a part would leave over the lower or right side; over the upper or
+    left side its cells come in again at the opposite one, as the reference has it.
+    """
     before = np.array(grid)
     now = before.copy()
     for part in parts:
         now[tuple(np.array(part).T)] = 0
     for part in parts:
-        cells, free = np.array(part), []
+        cells, free, ahead = np.array(part), [], now.copy()
+        ahead[tuple(cells.T)] = 0
         for way in sorted(AROUND_4):
-            seen = [s for s in (_sight(now, r, c, way) for r, c in part) if s]
+            seen = [s for s in (_sight(ahead, r, c, way) for r, c in part) if s]
             nearest = min(seen, key=lambda s: s[0], default=(0, 0))
             if nearest[1] == target:
                 free.append((nearest[0] - 1, way))
         steps, way = min(free, default=(0, (0, 0)))
-        now[tuple((cells + steps * np.array(way)).T)] = before[tuple(cells.T)]
+        to = cells + steps * np.array(way)
+        if (to >= now.shape).any():
+            return None
+        now[tuple(to.T)] = before[tuple(cells.T)]
     return now.tolist()
 
 
@@ -526,7 +534,9 @@ def slide_toward(f: Frame, mover: int, target: int) -> DataFrame:
     o = Objects(f, "c8")
     movers = f.let(F.filter(o.all, lambda x: x["color"] == mover))
     f.fail(F.size(movers) == 0, "no mover")
-    return f.finish(f.h, f.w, f.let(_kernel(lambda g, p: flown(g, p, target), "array<array<int>>")(f.g, f.let(_parts(movers)))))
+    out = f.let(_kernel(lambda g, p: flown(g, p, target), "array<array<int>>")(f.g, f.let(_parts(movers))))
+    f.fail(out.isNull(), "off the grid")
+    return f.finish(f.h, f.w, out)
 
 
 @operator("relation")
