@@ -20,8 +20,6 @@ def _transposed(g: Column) -> Column:
 
 
 def _permuted(g: Column, colors: list[int]) -> Column:
-    if sorted(colors) != list(range(10)):
-        raise ValueError(f"not a permutation of ten colours: {colors}")
     to = F.array(*map(F.lit, colors))
     return F.transform(g, lambda row: F.transform(row, lambda v: F.get(to, v)))
 
@@ -40,28 +38,36 @@ def _steps(key: str) -> list[tuple[str, list[int]]]:
     return out
 
 
+def _applied(g: Column, steps: list[tuple[str, list[int]]]) -> Column:
+    """The grid after quarter turns (``rot90`` against the clock, ``back`` with it), transpositions and permutations, however many:
+    one transposition at most, then rows and columns reversed or not, then one new colour for each old one."""
+    over, rows, columns, colors = False, False, False, list(range(10))
+    for step, given in steps:
+        if step == "permute":
+            if sorted(given) != list(range(10)):
+                raise ValueError(f"not a permutation of ten colours: {given}")
+            colors = [given[v] for v in colors]
+        elif step == "transpose":
+            over, rows, columns = not over, columns, rows
+        elif step == "rot90":
+            over, rows, columns = not over, not columns, rows
+        elif step == "back":
+            over, rows, columns = not over, columns, not rows
+    g = _transposed(g) if over else g
+    g = F.reverse(g) if rows else g
+    g = F.transform(g, lambda row: F.reverse(row)) if columns else g
+    return g if colors == list(range(10)) else _permuted(g, colors)
+
+
 def forward(g: Column, key: str) -> Column:
     """The grid as ``key`` says."""
-    for step, given in _steps(key):
-        if step == "rot90":
-            g = F.reverse(_transposed(g))
-        elif step == "transpose":
-            g = _transposed(g)
-        elif step == "permute":
-            g = _permuted(g, given)
-    return g
+    return _applied(g, _steps(key))
 
 
 def inverse(g: Column, key: str) -> Column:
     """The grid that ``key`` made this one of."""
-    for step, given in reversed(_steps(key)):
-        if step == "rot90":
-            g = _transposed(F.reverse(g))
-        elif step == "transpose":
-            g = _transposed(g)
-        elif step == "permute":
-            g = _permuted(g, [given.index(v) for v in range(10)])
-    return g
+    undone = {"rot90": lambda given: ("back", given), "permute": lambda given: ("permute", [given.index(v) for v in range(10)]), "transpose": lambda given: ("transpose", given)}
+    return _applied(g, [undone[step](given) for step, given in reversed(_steps(key)) if step in undone])
 
 
 def ordered(examples: Column, key: str) -> Column:

@@ -28,6 +28,17 @@ def changed(grid, key):
     return g.tolist()
 
 
+def test_long_keys_stay_one_pass(spark):
+    """Each turn used to name the grid twice, once of them for every column: the work grew with a power of the turns."""
+    turns = ["rot90", "transpose", "rot90", "permute1203456789", "rot90"] * 5
+    key, want = ".".join(["base", *turns]), np.arange(6).reshape(2, 3)
+    for step in turns:
+        want = {"r": lambda g: np.rot90(g), "t": lambda g: g.T, "p": lambda g: np.array([1, 2, 0, 3, 4, 5])[g]}[step[0]](want)
+    made = from_text(spark, [(0, "012 345")]).select("g", augment.forward(F.col("g"), key).alias("there"))
+    row = made.withColumn("back", augment.inverse(F.col("there"), key)).first()
+    assert row.there == want.tolist() and row.back == row.g
+
+
 @pytest.mark.parametrize("key", [*augment.TURNS, "a.permute9876543210", "a.rot90.permute1203456789.transpose.rot90.copy2", "a"])
 def test_augmentation_and_back(spark, key):
     grids = from_text(spark, [(0, "123 456"), (1, "90"), (2, "1 2 3")])
