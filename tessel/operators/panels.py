@@ -14,7 +14,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions.grids import Frame, cells
+from tessel.functions.grids import Frame, bound, cells
+from tessel.plans.store import written
 
 LOGICS = ("and", "or", "xor", "nor", "nand", "xnor")
 
@@ -56,8 +57,60 @@ class Panels:
         return self.f.at(r + start, c) if self.axis == 0 else self.f.at(r, c + start)
 
 
-def _separated(h: Column, w: Column, axis: int, count: int) -> Callable[[Column], Column]:
-    return lambda v: F.struct(F.lit("separator").alias("split"), F.lit(axis).alias("axis"), F.lit(count).alias("count"), v.alias("color"), starts_and_size(F.col("g"), h, w, axis, count, v).alias("at"))
+def _partitions(g: Column, wanted: Column) -> Column:
+    """Structs split, axis, count, color, starts, size: each way to cut a grid into two to four panels of the wanted grid's size.
+
+    Only colours of whole lines can separate, so each line is read once and other colours aren't tried.
+    """
+    h, w = F.size(g), F.size(F.get(g, F.lit(0)))
+    wanted_h, wanted_w = F.size(wanted), F.size(F.get(wanted, F.lit(0)))
+
+    def cut(split: str, axis: int, count: Column, color: Column, starts: Column, size: Column) -> Column:
+        return F.struct(F.lit(split).alias("split"), F.lit(axis).alias("axis"), count.cast("int").alias("count"), color.alias("color"), starts.alias("starts"), size.cast("int").alias("size"))
+
+    def separated(axis: int, n: Column) -> Column:
+        lines = g if axis == 0 else F.transform(F.get(g, F.lit(0)), lambda _, c: F.transform(g, lambda row: F.get(row, c)))
+        whole = F.transform(lines, lambda line: F.when(F.forall(line, lambda v: v == F.get(line, F.lit(0))), F.get(line, F.lit(0))))
+
+        def by(colors: Column, v: Column) -> Column:
+            kept = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(colors, i) != v, F.lit(True)))
+            starts = lambda k: F.filter(k, lambda i: ~F.array_contains(k, i - 1))
+            ends = lambda k: F.filter(k, lambda i: ~F.array_contains(k, i + 1))
+            sizes = lambda k: F.array_distinct(F.zip_with(starts(k), ends(k), lambda a, b: b - a + 1))
+            return bound(kept, lambda k: bound(F.struct(starts(k).alias("starts"), sizes(k).alias("sizes")), lambda x: F.when(F.size(x["sizes"]) == 1, cut("separator", axis, F.size(x["starts"]), v, x["starts"], F.get(x["sizes"], F.lit(0))))))
+
+        return bound(whole, lambda colors: F.transform(F.array_distinct(F.array_compact(colors)), lambda v: by(colors, v)))
+
+    def even(axis: int, n: Column, count: int) -> Column:
+        size = F.floor(n / count).cast("int")
+        starts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: (i * size).cast("int"))
+        return F.when(n % count == 0, cut("equal", axis, F.lit(count), F.lit(-1), starts, size))
+
+    equal = [even(axis, n, count) for count in (2, 3, 4) for axis, n in ((0, h), (1, w))]
+    every = F.concat(F.array(*equal), separated(0, h), separated(1, w))
+    fits = lambda p: F.when(p["axis"] == 0, (wanted_h == p["size"]) & (wanted_w == w)).otherwise((wanted_h == h) & (wanted_w == p["size"]))
+    return F.filter(every, lambda p: p["count"].between(2, 4) & fits(p))
+
+
+_KEY = ["task_id", "split", "axis", "count", "color"]
+
+
+def _tables(pairs: DataFrame) -> DataFrame:
+    """(task_id, split, axis, count, color, rows array of values, target): ``truth_tables`` with one row for each partition of a task."""
+    pairs = written(pairs.where("g is not null and wanted is not null").select("task_id", "g", "wanted"), "pairs")
+    n_pairs = pairs.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    split = pairs.select("task_id", "g", "wanted", F.explode(_partitions(F.col("g"), F.col("wanted"))).alias("p")).select("task_id", "g", "wanted", "p.*")
+    values = lambda x: F.transform("starts", lambda s: F.when(F.col("axis") == 0, F.get(F.get(F.col("g"), x["r"] + s), x["c"])).otherwise(F.get(F.get(F.col("g"), x["r"]), x["c"] + s)))
+    entries = F.transform(cells(F.col("wanted")), lambda x: F.struct(values(x).alias("values"), x["v"].alias("target")))
+    # Each pair gives its distinct entries, at most one for each cell, before the shuffle, and one without values, by which pairs are counted.
+    one = F.array(F.struct(F.array().cast("array<int>").alias("values"), F.lit(0).alias("target")))
+    entry = split.select(*_KEY, F.explode(F.concat(F.array_distinct(entries), one)).alias("e"))
+    table = entry.groupBy(*_KEY, F.col("e.values").alias("values")).agg(F.min("e.target").alias("target"), F.max("e.target").alias("other"), F.count(F.lit(1)).alias("n"))
+    is_count = F.size("values") == 0
+    listed = table.groupBy(*_KEY).agg(
+        F.max(F.when(is_count, F.col("n"))).alias("n"), F.bool_or(~is_count & (F.col("target") != F.col("other"))).alias("wrong"), F.collect_list(F.when(~is_count, F.struct("values", "target"))).alias("rows")  # at most 10 ** 4 rows each
+    )
+    return listed.where("not wrong").join(n_pairs, "task_id").where("n = n_pairs").select(*_KEY, "rows")
 
 
 def truth_tables(pairs: DataFrame) -> DataFrame:
@@ -67,27 +120,7 @@ def truth_tables(pairs: DataFrame) -> DataFrame:
     ``pairs``: task_id, g, wanted (both grids).  Only two to four panels; separator colours are those of the grid.  A
     partition needs to fit all pairs of its task; rows are added up per table entry, so a task may have any number of pairs.
     """
-    h, w = F.size("g"), F.size(F.col("g")[0])
-    options = []
-    for count in (2, 3, 4):
-        for axis in (0, 1):
-            options.append(F.array(F.struct(F.lit("equal").alias("split"), F.lit(axis).alias("axis"), F.lit(count).alias("count"), F.lit(-1).alias("color"), starts_and_size(F.col("g"), h, w, axis, count, None).alias("at"))))
-            colors = F.array_distinct(F.flatten("g"))
-            options.append(F.transform(colors, _separated(h, w, axis, count)))
-    key = ["task_id", "split", "axis", "count", "color"]
-    pairs = pairs.where("g is not null and wanted is not null").select("task_id", "g", "wanted")
-    n_pairs = pairs.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_pairs"))
-    split = pairs.withColumn("p", F.explode(F.concat(*options))).where("p.at is not null").select("task_id", "g", "wanted", "p.split", "p.axis", "p.count", "p.color", "p.at")
-    size = F.col("at.size")
-    fits = F.when(F.col("axis") == 0, (F.size("wanted") == size) & (F.size(F.col("wanted")[0]) == F.size(F.col("g")[0]))).otherwise((F.size("wanted") == F.size("g")) & (F.size(F.col("wanted")[0]) == size))
-    values = lambda x: F.transform(F.col("at.starts"), lambda s: F.when(F.col("axis") == 0, F.get(F.get(F.col("g"), x["r"] + s), x["c"])).otherwise(F.get(F.get(F.col("g"), x["r"]), x["c"] + s)))
-    entries = F.transform(cells(F.col("wanted")), lambda x: F.struct(values(x).alias("values"), x["v"].alias("target")))
-    # Each pair gives its distinct entries, at most one for each cell, before the shuffle.
-    split = split.where(fits).select(*key, F.array_distinct(entries).alias("entries"))
-    whole = split.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(n_pairs, "task_id").where("n = n_pairs").select(*key)
-    table = split.select(*key, F.explode("entries").alias("e")).groupBy(*key, F.col("e.values").alias("values")).agg(F.min("e.target").alias("target"), F.max("e.target").alias("other"))
-    wrong = table.where("target <> other").select(*key).distinct()
-    return table.join(whole, key, "left_semi").join(wrong, key, "left_anti").select(*key, "values", "target")
+    return _tables(pairs).select(*_KEY, F.inline("rows"))
 
 
 def fitted(pairs: DataFrame) -> DataFrame:
@@ -96,9 +129,8 @@ def fitted(pairs: DataFrame) -> DataFrame:
 
     Backgrounds are values that occur in every panel; outputs of a truth value are just two.
     """
-    key = ["task_id", "split", "axis", "count", "color"]
-    table = truth_tables(pairs)
-    listed = table.groupBy(*key).agg(F.collect_list(F.struct("values", "target")).alias("rows"), F.array_sort(F.collect_set("target")).alias("outputs"))  # at most 10 ** 4 rows each
+    key = _KEY
+    listed = _tables(pairs).withColumn("outputs", F.array_sort(F.array_distinct(F.transform("rows", lambda e: e["target"]))))
     in_panel = lambda b: F.forall(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.exists("rows", lambda e: F.get(e["values"], i) == b))
     listed = listed.withColumn("background", F.explode(F.filter(F.array_distinct(F.flatten(F.transform("rows", lambda e: e["values"]))), in_panel)))
     background = F.col("background")

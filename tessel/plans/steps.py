@@ -13,6 +13,7 @@ from tessel.operators import OPERATORS
 from tessel.operators.panels import fitted
 from tessel.operators.steps import LAYER_STEPS, OBJECT_STEPS, SEARCH_STEPS
 from tessel.plans.queries import LINES, _labels, _sql
+from tessel.plans.store import written
 from tessel.sources.grids import FEW_ORDERS, ORDERS, SIDE, framed, from_lineitem, to_cells
 
 #: Marks plans over the grids of fewer lines, so that things have room to move.
@@ -78,11 +79,11 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def panel_programs_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grids of four in a row are a task whose hidden rule compares or overlays halves; the programs that make all its pairs."""
-    grids = from_lineitem(spark, sf_dir).withColumn("task_id", F.floor(F.col("gid") / 4))
+    grids = written(from_lineitem(spark, sf_dir).withColumns({"task_id": F.floor(F.col("gid") / 4), "shown": F.col("g")}), "grids")
     halves = {"partition": {"split": "equal", "axis": 1, "count": 2}, "backgrounds": [0, 0], "output_bg": 0}
     rules = [("panel_logic", halves | {"mode": "and", "paint": 8}), ("panel_logic", halves | {"mode": "nor", "paint": 5}), ("panel_overlay", halves | {"order": [1, 0]})]
-    hidden = [SEARCH_STEPS[name](grids.where(F.col("task_id") % 3 == k), **given).select("gid", F.col("g").alias("wanted")) for k, (name, given) in enumerate(rules)]
-    return fitted(grids.join(reduce(DataFrame.unionByName, hidden), "gid")).select("task_id", "split", "axis", "count", "op", "mode", "background", "paint", "output_bg", F.array_join("priority", ",").alias("priority"))
+    pairs = [SEARCH_STEPS[name](grids.where(F.col("task_id") % 3 == k), **given).select("task_id", F.col("shown").alias("g"), F.col("g").alias("wanted")) for k, (name, given) in enumerate(rules)]
+    return fitted(reduce(DataFrame.unionByName, pairs)).select("task_id", "split", "axis", "count", "op", "mode", "background", "paint", "output_bg", F.array_join("priority", ",").alias("priority"))
 
 
 def layer_follow_marker_path(spark: SparkSession, sf_dir: str) -> DataFrame:
