@@ -377,18 +377,21 @@ def repeat_objects(g: Ground, source: int, axis: str, scope: str = "forward") ->
     """Equal components at equal distances along an axis go on to the border, or to both borders."""
     f, o = g.f, g.objects(source)
     across = axis == "horizontal"
-    f.fail((F.size(o.all) < 2) | (F.size(F.array_distinct(o.of("shape"))) != 1), "no row of equal objects")
+    alike = f.let((F.size(o.all) >= 2) & (F.size(F.array_distinct(o.of("shape"))) == 1))
     anchors = f.let(F.array_sort(F.transform(o.all, lambda x: F.struct((x["c0"] if across else x["r0"]).alias("a"), (x["r0"] if across else x["c0"]).alias("b"), x["k"].alias("k")))))
     steps = F.transform(F.slice(anchors, F.lit(2), F.greatest(F.lit(0), F.size(anchors) - 1)), lambda x, i: F.struct((x["a"] - F.get(anchors, i)["a"]).alias("a"), (x["b"] - F.get(anchors, i)["b"]).alias("b")))
     steps = f.let(F.array_distinct(steps))
     d = f.let(F.get(steps, F.lit(0)))
-    f.fail((F.size(steps) != 1) | (d["a"] <= 0) | (d["b"] != 0), "no row of equal objects")
+    row = f.let(F.coalesce(alike & (F.size(steps) == 1) & (d["a"] > 0) & (d["b"] == 0), F.lit(False)))
+    f.fail(~row, "no row of equal objects")
     one = f.let(o.get(F.get(anchors, F.lit(0))["k"]))
     by = lambda n: (F.lit(0), n * d["a"]) if across else (n * d["a"], F.lit(0))
     inside = lambda n: (one["r0"] + by(n)[0] >= 0) & (one["c0"] + by(n)[1] >= 0) & (one["r1"] + by(n)[0] < f.h) & (one["c1"] + by(n)[1] < f.w)
-    copies = f.let(F.filter(F.sequence(F.lit(-MAX_SIZE if scope == "both" else 0), F.lit(MAX_SIZE)), lambda n: F.coalesce(inside(n), F.lit(False))))
+    # Most grids have no such row; they get no copies, so nothing is looked for in their cells.
+    numbers = F.sequence(F.lit(-MAX_SIZE if scope == "both" else 0), F.lit(MAX_SIZE))
+    copies = f.let(F.when(row, F.filter(numbers, lambda n: F.coalesce(inside(n), F.lit(False)))))
     drawn = lambda r, c: F.exists(copies, lambda n: o.label(r - by(n)[0], c - by(n)[1]) == one["k"])
-    f.fail(F.exists(g.everything, lambda x: drawn(x["r"], x["c"]) & g.blocked(x["v"], source)), "in the way")
+    f.fail(row & F.exists(g.everything, lambda x: g.blocked(x["v"], source) & drawn(x["r"], x["c"])), "in the way")
     return f.same(lambda r, c, v: F.when(drawn(r, c), source).otherwise(v))
 
 
@@ -592,33 +595,42 @@ def recolor_objects_(g: Ground, target: int, selector: str = "all", source: int
     return g.f.same(lambda r, c, v: F.when(p.here(r, c), target).otherwise(v))
 
 
-def _boxes(g: Ground, p: Picked, paints: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """As ``_boxed``, but refused where a box would go over another colour, as it stands when its turn comes."""
-    # Turns go by the colours' first places in the grid, then in reading order.
-    f = g.f
-    every = f.let(flat(f.g))
-    keyed = F.transform(p.list, lambda x: F.struct(F.array_position(every, x["color"]).alias("a"), (F.get(x["cells"], F.lit(0))["r"] * 32 + F.get(x["cells"], F.lit(0))["c"]).alias("b"), x.alias("o")))
-    p.list = f.let(F.transform(F.array_sort(keyed), lambda y: y["o"]))
-
-    def now(i: Column, r: Column, c: Column, v: Column) -> Column:
-        """A cell's value before turn i."""
-        found = F.filter(F.slice(p.list, F.lit(1), i), lambda x: paints(x, r, c) | (p.o.label(r, c) == x["k"]))
-        top = F.get(found, F.size(found) - 1)
-        return F.when(top.isNull(), v).when(paints(top, r, c), top["color"]).otherwise(g.bg)
+def boxed(grid: np.ndarray, bg: int, parts: list[np.ndarray], ring: bool) -> list[list[int]] | None:
+    """Each component gives way to its filled box, or to the box's ring, one after another: by the colours' first places in the
+    grid, then in reading order.  None where a box would go over another colour, as it stands when its turn comes."""
+    out, flat_ = grid.copy(), grid.ravel().tolist()
+    colour = lambda p: int(grid[p[0] // 32, p[0] % 32])
+    for part in sorted(parts, key=lambda p: (flat_.index(colour(p)), int(p[0]))):
+        r, c, own = part // 32, part % 32, colour(part)
+        box = out[r.min() : r.max() + 1, c.min() : c.max() + 1]
+        painted = np.ones(box.shape, bool)
+        if ring:
+            painted[1:-1, 1:-1] = False
+        held = box[painted]
+        if ((held != bg) & (held != own)).any():
+            return None
+        out[r, c] = bg
+        box[painted] = own
+    return out.tolist()
 
-    hits = F.transform(p.list, lambda x, i: F.exists(g.everything, lambda y: paints(x, y["r"], y["c"]) & g.blocked(now(i, y["r"], y["c"], y["v"]), x["color"])))
-    f.fail(F.exists(hits, lambda b: b), "in the way")
-    return _boxed(g, p, paints)
+
+def _boxes(g: Ground, p: Picked, ring: bool) -> DataFrame:
+    """As ``_boxed``, but refused where a box would go over another colour."""
+    f = g.f
+    parts = f.let(F.transform(p.list, lambda x: F.transform(x["cells"], lambda y: y["r"] * 32 + y["c"])))
+    out = f.let(_simulated(lambda grid, bg, held: boxed(grid, bg, held, ring))(f.g, g.bg, parts))
+    f.fail(out.isNull(), "in the way")
+    return f.finish(f.h, f.w, out)
 
 
 @search_step
 def fill_object_boxes(g: Ground, selector: str = "all", source: int | None = None) -> DataFrame:
-    return _boxes(g, g.picked(selector, source), _in_box)
+    return _boxes(g, g.picked(selector, source), False)
 
 
 @search_step
 def outline_object_boxes(g: Ground, selector: str = "all", source: int | None = None) -> DataFrame:
-    return _boxes(g, g.picked(selector, source), _on_ring)
+    return _boxes(g, g.picked(selector, source), True)
 
 
 def _over(i: Column, n: int) -> Column:
