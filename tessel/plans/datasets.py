@@ -21,6 +21,8 @@ from tessel.sources.generators import PRIME, draw, drawn
 LENGTHS, TRAIN, TEST = {1: 0.2, 2: 0.4, 3: 0.3, 4: 0.1}, (2, 5), (1, 2)
 #: Parameters tried for a step; attempts of an index taken at once; inputs drawn for each pair that is needed.
 TRIES, ATTEMPTS, SPARE = 15, 3, 3
+#: Tries that are made for every seed; the others are for those without a good one among them.
+EARLY = 2
 
 _ONE = "branch int, a int, b int, by string, value int, text string"
 
@@ -57,17 +59,27 @@ def sampled_programs(seeds: DataFrame, choices: list[Choice], tries: int = TRIES
         n = len(choices)
         u = draw(F.col("seed"), salt)
         other = (F.col("last") + 1 + u % F.lit(max(1, n - 1))) % n  # any but the last one
-        rows = due.withColumn("choice", F.coalesce(other, u % n).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-        if not step:
-            gens = F.lit(None).cast("string")
-            for k, c in enumerate(choices):
-                gens = F.when(F.col("choice") == k, weighted(list(c.gens), [1.0] * len(c.gens), draw(F.col("seed"), salt + 1))).otherwise(gens)
-            rows = _from_kinds(rows.withColumn("gen", gens).withColumn("own", _mixed(F.col("seed"), F.col("t"))), kinds, F.col("own"))
-        rows = rows.withColumn("own", _mixed(F.col("seed"), F.col("t"), step)).withColumn("branch", drawn_branch(known, choices, F.col("choice"), draw(F.col("seed"), salt + 2, F.col("t")))).withColumn("before", F.col("g"))
-        took = applied(rows, known, lambda df, b, salt=salt: drawn_step(df, b, F.col("own"), salt + 10))
-        took = took.where(F.col("err").isNull() & (F.col("g") != F.col("before"))).withColumn("text", step_text(known))
-        one = F.struct("branch", "a", "b", "by", "value", "text")
-        kept = took.groupBy("seed").agg(F.min_by(F.struct("length", F.col("choice").alias("last"), "gen", F.concat("steps", F.array(one)).alias("steps"), "g", "h", "w", "err"), "t").alias("x")).select("seed", "x.*")
+        due = due.withColumn("choice", F.coalesce(other, u % n).cast("int"))
+        kept = None
+        # Later tries are made for those seeds alone whose first ones all failed.
+        for tried in [range(min(EARLY, tries)), range(EARLY, tries)]:
+            if not tried:
+                continue
+            rows = due.withColumn("t", F.explode(F.sequence(F.lit(tried[0]), F.lit(tried[-1]))))
+            if not step:
+                gens = F.lit(None).cast("string")
+                for k, c in enumerate(choices):
+                    gens = F.when(F.col("choice") == k, weighted(list(c.gens), [1.0] * len(c.gens), draw(F.col("seed"), salt + 1))).otherwise(gens)
+                rows = _from_kinds(rows.withColumn("gen", gens).withColumn("own", _mixed(F.col("seed"), F.col("t"))), kinds, F.col("own"))
+            rows = rows.withColumn("own", _mixed(F.col("seed"), F.col("t"), step)).withColumn("branch", drawn_branch(known, choices, F.col("choice"), draw(F.col("seed"), salt + 2, F.col("t")))).withColumn("before", F.col("g"))
+            took = applied(rows, known, lambda df, b, salt=salt: drawn_step(df, b, F.col("own"), salt + 10))
+            took = took.where(F.col("err").isNull() & (F.col("g") != F.col("before"))).withColumn("text", step_text(known))
+            one = F.struct("branch", "a", "b", "by", "value", "text")
+            found = took.groupBy("seed").agg(F.min_by(F.struct("length", F.col("choice").alias("last"), "gen", F.concat("steps", F.array(one)).alias("steps"), "g", "h", "w", "err"), "t").alias("x")).select("seed", "x.*")
+            if tried[-1] + 1 < tries:
+                found = written(found, "found")
+                due = due.join(found.select("seed"), "seed", "left_anti")
+            kept = found if kept is None else kept.unionByName(found)
         if not step:
             done = done.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("g", "array<array<int>>"), ("h", "int"), ("w", "int"), ("err", "string"))])
         states = written(kept.unionByName(done), "programs")

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions.grids import Frame
+from tessel.functions.grids import Frame, bound
 from tessel.functions.selectors import BY_COLOR, BY_HOLES, BY_SIZE, MOST_SIZE, WEIGHTS, Objects
 from tessel.operators import OPERATORS
 from tessel.plans.store import written
@@ -180,8 +180,9 @@ def drawn_selector(o: Objects, held: Column, seed: Column, salt: int, tries: int
         n = F.size(F.filter(o.all, test(x["by"], x["value"])))
         return (n > 0) & ((x["by"] == "all") | (n < F.size(o.all)))
 
-    drawn = o.f.let(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), one))
-    return o.f.let(F.coalesce(F.get(F.filter(drawn, fits), F.lit(0)), F.struct(F.lit("all").alias("by"), F.lit(None).cast("int").alias("value"))))
+    # Draws after the first good one aren't looked at.
+    first = F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(None).cast("struct<by:string,value:int>"), lambda found, t: F.when(found.isNotNull(), found).otherwise(bound(one(t), lambda x: F.when(fits(x), x))))
+    return o.f.let(F.coalesce(first, F.struct(F.lit("all").alias("by"), F.lit(None).cast("int").alias("value"))))
 
 
 def drawn_step(rows: DataFrame, branch: Branch, seed: Column, salt: int) -> DataFrame:

@@ -83,6 +83,17 @@ def test_tasks_for_all_indices_and_again(spark, tmp_path):
             assert g.tolist() == p.output != p.input and g.any()
 
 
+def test_later_tries_change_nothing_for_seeds_that_have_a_good_one(spark, monkeypatch):
+    """Programs are the same whether all tries are made at once or later ones for the seeds without a good one alone."""
+    choices = samplers.pool(POOL)
+    seeds = spark.range(40).select(F.col("id").alias("seed"), F.lit(1).alias("length"))
+    found = []
+    for early in (datasets.EARLY, 1, 4):
+        monkeypatch.setattr(datasets, "EARLY", early)
+        found.append(sorted(tuple(r) for r in datasets.sampled_programs(seeds, choices, tries=4, most=1).select("seed", "gen", "program").collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 30
+
+
 def programs_of(text):
     name, rest = text[:-1].split("(")
     return name, {k: int(v) for k, v in (x.split("=") for x in rest.split(", "))}
