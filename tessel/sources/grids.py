@@ -34,7 +34,7 @@ def _drawn(bits: Column) -> Column:
     @F.arrow_udf("array<array<int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            held = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), 3, -1, 1) >> np.arange(4 * SIDE) & 1
+            held = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), 3, SIDE // 4, 1) >> np.arange(4 * SIDE) & 1
             values = (held.reshape(len(column), 3, SIDE * SIDE) * np.array([[1], [2], [3]])).max(1).astype(np.int32).ravel()
             ends = np.arange(0, len(values) + 1, SIDE, dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(ends), SIDE, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
